@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from flowgraph.llm import binary_records, sharding
+from flowgraph.llm import binary_records, decontaminate, language_id, packing, sharding
 
 QUERIES = {
     "op4_binary_records": binary_records.query,
+    "op5_language_id": language_id.query,
+    "op6_packing": packing.query,
     "op7_ring_sharding": sharding.query,
+    "op8_decontamination": decontaminate.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-The library's pre-tokenizer never lets a token cross a blank: a blank belongs to the word after it, and of a run
-of blanks only the last one does. So a text falls into chunks - a word with its blank, or a run of blanks - whose
-ids do not depend on what stands around them. Each distinct chunk is encoded once by the library and kept in a
-bounded table; texts with blanks that the two regex engines may see differently are encoded whole.
+The library cuts a text into words before it merges bytes, so a word's ids do not depend on what stands around it.
+Here texts are cut by the same rule, each distinct word is encoded by the library, and the ids of frequent words are
+kept in a bounded table. The rule is written for characters that both regex engines class alike (SURE); a text with
+any other character goes to the library whole.
 """
 
 from __future__ import annotations
@@ -14,84 +14,105 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Control characters that are blanks for Python but not in every regex engine, and blanks outside ASCII.
-UNSURE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+#: The pre-tokenizer's rule, with letters as [^\W\d_], for texts in SURE.
+WORD = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+UNSURE = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-龥가-힣‐-‗‘-‧‰-⁞€]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-LONG = 1_000_000
+LONG = 500_000
 
 
 class _Codes(dict):
-    """Gives each new chunk the next number and remembers that it is to be encoded."""
+    """Gives each new word the next number and remembers that it is to be encoded."""
 
-    def __init__(self) -> None:
+    def __init__(self, words: list[str] = ()) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
         self.pending: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = code = len(self)
-        self.pending.append(chunk)
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.pending.append(word)
         return code
 
 
 class Encoder:
     """encode(texts) gives all ids in a row and the number of each text's ids."""
 
-    def __init__(self, path: str, keep: int = 150_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
+        self.newline = self._library("\n")
+        self.codes, self.uses = _Codes(), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @property
     def vocab_size(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _clear(self) -> None:
-        self.codes, self.ids, self.ends = _Codes(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _trim(self) -> None:
+        """Keeps the words used most, half the table at most, and forgets half of their uses."""
+        half = self.keep // 2
+        least = max(1, int(np.partition(self.uses, -half)[-half])) if len(self.uses) > half else 0
+        kept = np.flatnonzero(self.uses > least)
+        words = list(self.codes)
+        sizes = np.diff(self.ends)[kept]
+        self.ids, self.ends = self._gather(kept, sizes), np.concatenate([[0], np.cumsum(sizes)])
+        self.codes, self.uses = _Codes([words[i] for i in kept.tolist()]), self.uses[kept] // 2
 
-    def _chunks(self, text: str) -> list[str]:
-        if len(text) <= LONG:
-            return [text] if UNSURE.search(text) else CHUNK.findall(text)
+    def _gather(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.ends[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _words(self, text: str) -> list[str]:
         if UNSURE.search(text):
             return [text]
+        if len(text) <= LONG:
+            return WORD.findall(text)
         out, at = [], 0
         while at < len(text):
             cut = SAFE_CUT.search(text, min(at + LONG, len(text)))
             end = cut.start() if cut else len(text)
-            out += CHUNK.findall(text[at:end])
+            out += WORD.findall(text[at:end])
             at = end
         return out
 
+    def _encode_new(self) -> None:
+        """Words without a line break go to the library together, a line each: a line break is always a word of its own."""
+        new, self.codes.pending = self.codes.pending, []
+        alone = [self._library(w) if "\n" in w or "\r" in w or UNSURE.search(w) or w.isspace() else None for w in new]
+        together = self._library("\n".join(w for w, ids in zip(new, alone, strict=True) if ids is None) + "\n")
+        breaks = np.flatnonzero(together == self.newline[0])
+        starts, stops = np.concatenate([[0], breaks[:-1] + 1]).tolist(), breaks.tolist()
+        rest = iter(zip(starts, stops, strict=True))
+        found = [together[slice(*next(rest))] if ids is None else ids for ids in alone]
+        self.ids = np.concatenate([self.ids, *found])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > self.keep:
-            self._clear()
+            self._trim()
         code, codes, counts = self.codes.__getitem__, [], []
         for text in texts:
-            chunks = self._chunks(text) if text else []
-            counts.append(len(chunks))
-            codes += map(code, chunks)
+            words = self._words(text) if text else []
+            counts.append(len(words))
+            codes += map(code, words)
         if self.codes.pending:
-            new = self._library(self.codes.pending)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            flat = np.fromiter((i for ids in new for i in ids), np.uint32, int(sizes.sum()))
-            self.ids = np.concatenate([self.ids, flat])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.codes.pending = []
+            self._encode_new()
         at = np.array(codes, np.int64)
+        self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.ends[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        marks = ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return ids, np.diff(marks)
+        return self._gather(at, sizes), np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker; its table lives on from task to task."""
     return Encoder(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are handed to Python code in slices of about this many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -118,9 +118,11 @@ def learn(labelled: DataFrame, most: int = LEARN, profile: int = PROFILE) -> dic
     There are as many rows on the driver as languages, and then as n-grams in profiles.
     """
     labelled = labelled.where("lang is not null")
-    sizes = labelled.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("_share"))
+    share = [F.lit(x) for lang, n in labelled.groupBy("lang").count().collect() for x in (lang, min(1.0, most / n))]
+    if not share:
+        return {}
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.join(sizes, "lang").where(chance < F.col("_share")).select("lang", "text")
+    drawn = labelled.where(chance < F.create_map(*share)[F.col("lang")]).select("lang", "text")
     counts = drawn.mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= profile)
     out: dict[str, list[int]] = {}

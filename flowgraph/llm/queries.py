@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from flowgraph.llm import binary_records, decontaminate, language_id, line_quality, packing, pii_crf, sharding, token_counts
+from flowgraph.llm import binary_records, decontaminate, language_id, line_quality, ngram_join, packing, pii_crf, sharding, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_binary_records": binary_records.query,
     "op5_language_id": language_id.query,
     "op6_packing": packing.query,

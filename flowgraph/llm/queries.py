@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flowgraph.llm import binary_records, decontaminate, language_id, line_quality, ngram_join, packing, pii_crf, sharding, token_counts
+from flowgraph.llm import binary_records, decontaminate, language_id, line_quality, ngram_join, packing, pii_crf, sharding, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_token_counts": token_counts.query,
     "op3_ngram_join": ngram_join.query,
     "op4_binary_records": binary_records.query,

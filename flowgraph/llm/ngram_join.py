@@ -339,5 +339,18 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return out.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
+def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id, or any one if ids repeat.
+
+    Rows without a word are all kept, as each is alone. docs may not have a column named _row.
+    """
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    rows = docs.withColumn("_row", F.col("doc_id") if unique else F.monotonically_increasing_id())
+    rows = rows if unique else stored(rows, "rows")
+    found = join(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))

@@ -5,16 +5,20 @@ one node stands for each class. Two nodes link when 100 * intersection >= 80 * u
 
 1. Shingles are ordered rare first: a fixed-width table of counts over all documents gives each shingle a level, and
    within a level the hash decides. Any order gives the same result; this one keeps passages that many documents
-   share out of the way. Linked nodes share a shingle among their first n - ceil(0.8 n) + 1.
-2. Nodes that share such a shingle are compared with the least of them, which is linear in the postings. What links
-   there is joined into groups of similar documents, so thousands of near copies become one group.
+   share out of the way. Of their first n - ceil(0.8 n) + l shingles, l = n // 10 + 1, linked nodes share l or more:
+   these, by shingle, are the postings.
+2. Nodes are compared with the least node of a shingle if they share l / 2 shingles with it; this is linear in the
+   postings. What links there is joined into groups of similar documents, so thousands of near copies are one group.
 3. For shingles that still join several groups, the token-group matrix holds each group's token union. A query node
-   opens a group only if the union covers 80 % of the query's own tokens and a member's size fits. In an open group it
-   is compared with the members that share one of its first shingles.
+   opens a group only if their overlap reaches the bound l and a member's size fits, and in an open group it is
+   compared with members that reach the bound themselves. A shingle of more than LIGHT groups is left out, and the
+   bound lowered by the number of such shingles that the node holds; nodes for which nothing would be left of it
+   meet each other by those shingles, too.
 4. Links of both rounds are joined into components.
 
 No link between different sets is lost: a pair in one group needs no further test, and a linked pair in two groups
-meets every condition of step 3. Nothing is collected on the driver but the level table, LEVEL_CELLS bytes.
+meets every condition of step 3, seen from at least one of its sides. What reaches the driver is the level table,
+LEVEL_CELLS counts, and a filter of FILTER_BITS bits for the documents whose sets are read again.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ WORDS = 5
 PERCENT = 80
 LEVEL_CELLS = 1 << 19
 CHUNK = 1 << 14
+LIGHT = 32
+FILTER_BITS = 1 << 28
 BLOCK = 4 << 20
 
 _U = np.uint64
@@ -124,6 +130,11 @@ def _need(size: int, percent: int) -> int:
     return -(-size * percent // 100)
 
 
+def _bound(size, percent: int):
+    """Of so many more first shingles than one, linked sets share as many."""
+    return size // 10 + 1
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _U(40)).astype(np.int64) & (LEVEL_CELLS - 1)
 
@@ -165,11 +176,11 @@ def _setter(level, n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
         for batch, texts in slices(batches):
             sizes, high, low, firsts = [], [], [], []
             for s in text_sets(texts, n):
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                order = np.argsort(table[_cell(s)], kind="stable")[: len(s) - _need(len(s), percent) + 1]
+                one, two = digest(s)
+                order = np.argsort(table[_cell(s)], kind="stable")[: len(s) - _need(len(s), percent) + _bound(len(s), percent)]
                 sizes.append(len(s))
-                high.append(int(digest[0]))
-                low.append(int(digest[1]))
+                high.append(one)
+                low.append(two)
                 firsts.append(s[order].view(np.int64))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int64()), "d1": pa.array(high, pa.int64()), "d2": pa.array(low, pa.int64()), "firsts": pa.array(firsts, pa.list_(pa.int64()))})
 
@@ -209,20 +220,36 @@ def _checker(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _resetter(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _resetter(n: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sets of the documents that the filter lets through; few others, none missing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            nodes, blobs = [], []
-            for node, d1, d2, s in zip(*(batch.column(c).to_pylist() for c in ("node", "d1", "d2")), text_sets(texts, n), strict=True):
-                if (d1, d2) == struct_digest(s):
-                    nodes.append(node)
-                    blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "tokens"])
+        table = bits.value
+        for batch in batches:
+            spot = np.array(batch.column("spot")) % (64 * len(table))
+            inside = table[spot >> 6] >> (spot & 63).astype(_U) & _U(1)
+            for _, texts in slices([batch.filter(pa.array(inside.astype(bool)))]):
+                sets = [s for s in text_sets(texts, n) if len(s)]
+                digests = [digest(s) for s in sets]
+                yield pa.RecordBatch.from_pydict({"d1": pa.array([d[0] for d in digests], pa.int64()), "d2": pa.array([d[1] for d in digests], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
 
-def struct_digest(s: np.ndarray) -> tuple[int, int]:
+def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(node, tokens) of the given nodes, from the texts again."""
+    spot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 62) - 1))
+    wanted = checkpoint(nodes.distinct().join(classes, "node").select("node", "d1", "d2", spot("first_id").alias("spot")))
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    at = F.col("spot") % size
+    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(spot % {size} % 64 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(size // 64, _U)
+    bits[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(_U)
+    again = docs.select(spot("doc_id").alias("spot"), "text").mapInArrow(_resetter(n, docs.sparkSession.sparkContext.broadcast(bits)), "d1 long, d2 long, tokens binary")
+    return stored(again.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "tokens"), "tokens")
+
+
+def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
 
@@ -265,41 +292,42 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(to, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("_r", "node")).drop("_n", "_r")
 
 
-def _second_round(shared: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """Verified pairs (a, b) from different groups, or None if no token joins groups."""
+def _candidates(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap; sizes has node, n."""
     posts = _grouped(shared.select("token", "node"), groups)
-    several = posts.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    posts = checkpoint(posts.join(several, "token"))
-    if posts.isEmpty():
-        return None
-    sizes = sets.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"))
-    groups_of = posts.select("token", F.col("group").alias("g")).distinct()
-    asked = posts.join(groups_of, "token").where("group <> g").select(F.col("node").alias("q"), "g").distinct()
-    members = _grouped(sizes, groups)
-    spans = members.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = asked.join(sizes.select(F.col("node").alias("q"), F.col("n").alias("nq")), "q").join(spans, "g")
-    asked = checkpoint(asked.where((100 * F.col("most") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq"))).select("q", "g", "nq"))
-
-    explode = lambda df: df.mapInArrow(_tokens, "node long, token long")
-    involved = asked.select(F.col("g").alias("group")).distinct()
-    matrix = _grouped(sets, groups).join(involved, "group").select("node", "tokens")
-    matrix = _grouped(explode(matrix), groups).select(F.col("group").alias("g"), "token").distinct()
-    queries = explode(sets.join(asked.select(F.col("q").alias("node")).distinct(), "node").select("node", "tokens"))
-    overlap = asked.join(queries.withColumnRenamed("node", "q"), "q").join(matrix, ["g", "token"]).groupBy("q", "g", "nq").agg(F.count("*").alias("hits"))
-    opened = overlap.where(100 * F.col("hits") >= percent * F.col("nq")).select("q", "g")
-    mine = posts.select("token", F.col("node").alias("q"))
-    theirs = posts.select("token", F.col("node").alias("d"), F.col("group").alias("g"))
-    pairs = mine.join(opened, "q").join(theirs, ["token", "g"]).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
-    return verified(pairs, sets, percent)
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            part = batch.slice(k, 64)
-            blobs = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("tokens")]
-            nodes = np.repeat(np.array(part.column("node")), [len(x) for x in blobs])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(blobs))], ["node", "token"])
+    matrix = posts.select("token", F.col("group").alias("g")).distinct()
+    several = matrix.groupBy("token").agg((F.count("*") > LIGHT).alias("heavy"), F.count("*").alias("c")).where("c > 1").select("token", "heavy")
+    posts = posts.join(several, "token")
+    bound, near = _bound_of("n"), _bound_of(f"(n * {percent} + 99) div 100")
+    held = posts.groupBy("node").agg(F.count_if("heavy").alias("h")).join(sizes, "node")
+    held = held.select("node", "n", "h", bound.alias("l"), (F.col("h") >= near).alias("full"))
+    #: A heavy shingle joins only nodes that hold so many of them that the bound would vanish.
+    posts = checkpoint(posts.join(held, "node").where("full or not heavy"))
+
+    spans = posts.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"))
+    matrix = posts.select("token", F.col("group").alias("g")).distinct()
+    asked = posts.select("token", F.col("node").alias("q"), "group", "heavy").join(matrix, "token").where("group <> g")
+    asked = asked.groupBy("q", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("heavy")).alias("light"))
+    mine = held.select(F.col("node").alias("q"), F.col("n").alias("nq"), "h", F.col("l").alias("lq"), "full")
+    asked = asked.join(mine, "q").join(spans, "g")
+    fits = (100 * F.col("most") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq"))
+    opened = asked.where(fits & _reaches("lg")).select("q", "g", "nq", "h", "lq", "full")
+
+    theirs = posts.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"))
+    pairs = posts.select("token", F.col("node").alias("q"), "heavy").join(opened, "q").join(theirs, ["token", "g"])
+    pairs = pairs.where((100 * F.col("nd") >= percent * F.col("nq")) & (percent * F.col("nd") <= 100 * F.col("nq")))
+    pairs = pairs.groupBy("q", "d", "h", "lq", "ld", "full").agg(F.count("*").alias("c"), F.count_if(~F.col("heavy")).alias("light"))
+    return pairs.where(_reaches("ld")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
+
+
+def _bound_of(size: str):
+    return F.expr(f"({size}) div 10 + 1")
+
+
+def _reaches(other: str):
+    """Whether the shared shingles, all or but the heavy ones, reach the bound of the query and the other side."""
+    bound = F.least("lq", other)
+    return F.when(F.col("full"), F.col("c") >= bound).otherwise(F.col("light") >= F.greatest(F.lit(1), bound - F.col("h")))
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -321,15 +349,15 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     posts = nodes.select("node", F.explode("firsts").alias("token")).repartition("token").sortWithinPartitions("token", "node")
     shared = stored(posts.mapInArrow(_stars, "token long, node long, center long"), "shared")
 
-    wanted = shared.select("node").distinct().join(classes, "node").select("node", "d1", "d2", F.col("first_id").alias("_id"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "d1", "d2", "text")
-    again = stored(texts.mapInArrow(_resetter(n), "node long, tokens binary").dropDuplicates(["node"]), "tokens")
-
-    stars = shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    edges = checkpoint(verified(stars, again, percent))
+    sizes = full.select(F.col("row").alias("node"), "n")
+    stars = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("c")).join(sizes, "node")
+    stars = checkpoint(stars.where(2 * F.col("c") >= _bound_of("n")).select(F.col("node").alias("a"), F.col("center").alias("b")))
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    edges = checkpoint(verified(stars, _sets_of(docs, both(stars), classes, n), percent))
     groups = components(edges)
-    more = _second_round(shared, again, groups, percent)
-    if more is not None:
+    pairs = checkpoint(_candidates(shared, sizes, groups, percent))
+    if not pairs.isEmpty():
+        more = verified(pairs, _sets_of(docs, both(pairs), classes, n), percent)
         groups = components(edges.unionByName(more))
     labelled = _grouped(classes, groups)
     low = labelled.groupBy("group").agg(F.min("class_id").alias("component_id"))

@@ -8,12 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are handed to Python code in slices of about this many characters.
 SLICE_CHARS = 1_000_000
+#: The most bits of a filter that goes to all tasks.
+FILTER_BITS = 1 << 28
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +68,29 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
                 start, size = i + 1, 0
 
 
+def spot(*columns: str) -> Column:
+    """Where a filter looks for these columns' values."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def bit_filter(rows: DataFrame, n: int, most: int = FILTER_BITS) -> np.ndarray:
+    """A filter over the spots (a column) of about n rows: bits in 64-bit words, 16 a row but `most` at most.
+
+    Whatever is in rows passes it; as rows outgrow it, more of the others do.
+    """
+    size = min(most, max(1 << 16, 1 << (16 * n).bit_length()))
+    word, bit = F.expr(f"shiftright(spot % {size}, 6)"), F.expr(f"shiftleft(1L, cast(spot % 64 as int))")
+    words = rows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def passes(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    at = spots % (64 * len(bits))
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ one node stands for each class. Two nodes link when 100 * intersection >= 80 * u
 
 No link between different sets is lost: a pair in one group needs no further test, and a linked pair in two groups
 meets every condition of step 3, seen from at least one of its sides. What reaches the driver is the level table,
-LEVEL_CELLS counts, and a filter of FILTER_BITS bits for the documents whose sets are read again.
+LEVEL_CELLS counts, and a bounded filter for the documents whose sets are read again.
 """
 
 from __future__ import annotations
@@ -33,14 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import checkpoint, documents, slices, stored
+from flowgraph.llm.common import bit_filter, checkpoint, documents, passes, slices, spot, stored
 
 WORDS = 5
 PERCENT = 80
 LEVEL_CELLS = 1 << 19
 CHUNK = 1 << 14
 LIGHT = 32
-FILTER_BITS = 1 << 28
 BLOCK = 4 << 20
 
 _U = np.uint64
@@ -224,11 +223,9 @@ def _resetter(n: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """Sets of the documents that the filter lets through; few others, none missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
         for batch in batches:
-            spot = np.array(batch.column("spot")) % (64 * len(table))
-            inside = table[spot >> 6] >> (spot & 63).astype(_U) & _U(1)
-            for _, texts in slices([batch.filter(pa.array(inside.astype(bool)))]):
+            inside = passes(bits.value, np.array(batch.column("spot")))
+            for _, texts in slices([batch.filter(pa.array(inside))]):
                 sets = [s for s in text_sets(texts, n) if len(s)]
                 digests = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({"d1": pa.array([d[0] for d in digests], pa.int64()), "d2": pa.array([d[1] for d in digests], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
@@ -238,14 +235,9 @@ def _resetter(n: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts again."""
-    spot = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 62) - 1))
     wanted = checkpoint(nodes.distinct().join(classes, "node").select("node", "d1", "d2", spot("first_id").alias("spot")))
-    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
-    at = F.col("spot") % size
-    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(spot % {size} % 64 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(size // 64, _U)
-    bits[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(_U)
-    again = docs.select(spot("doc_id").alias("spot"), "text").mapInArrow(_resetter(n, docs.sparkSession.sparkContext.broadcast(bits)), "d1 long, d2 long, tokens binary")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, wanted.count()))
+    again = docs.select(spot("doc_id").alias("spot"), "text").mapInArrow(_resetter(n, bits), "d1 long, d2 long, tokens binary")
     return stored(again.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "tokens"), "tokens")
 
 

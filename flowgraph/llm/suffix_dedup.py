@@ -8,13 +8,14 @@ strings have to meet in one shard, though a corpus of them fits nowhere. So:
 2. Stretches are shuffled by anchor, as hashes. An anchor with one stretch holds no repeat. Of equal stretches under
    an anchor all but the first are covered whole; a map task drops its own copies before the shuffle, so a passage
    that a third of all documents share reaches a shard once per task.
-3. What differs under a shared anchor may still share windows. These stretches' bytes go to shards by anchor. A shard
-   builds its suffix array by induced sorting and its permuted common prefixes (induced.py); runs of suffixes that
-   share LENGTH bytes are equal windows, and all but the earliest are covered.
+3. What differs under a shared anchor may still share windows. An equal window agrees on half of its other bytes to
+   the left or to the right of the anchor, so only stretches that agree with another there are open. Their bytes go to
+   shards by anchor. A shard builds its suffix array by induced sorting and its permuted common prefixes (induced.py);
+   runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest are covered.
 4. Each document cuts out the union of what is covered.
 
-Documents are read once more for step 3, and those that took part in it go on to step 4 alone. The shard of an anchor
-holds that anchor's distinct surroundings; no other group is gathered in one task.
+For steps 3 and 4 only documents with something open or covered are shuffled, by way of bounded filters. The shard of an anchor holds that anchor's distinct surroundings; no other group
+is gathered in one task.
 """
 
 from __future__ import annotations
@@ -24,17 +25,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import documents, slices, stored, utf8
+from flowgraph.llm.common import bit_filter, documents, passes, shuffle_partitions, slices, spot, stored, utf8
 from flowgraph.llm.induced import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 24
+#: Any window holds one of the MARKS strings of LENGTH - SHIFT bytes that begin 0, SHIFT, 2 * SHIFT ... before its anchor.
+MARKS = 4
+SHIFT = (LENGTH - GRAM) // MARKS
 BLOCK = 1 << 20
 #: Stretches in which a map task looks for copies, and bytes of a shard's suffix array.
 HELD = 400_000
+CELLS = 4
 SHARD = 2 << 20
 NULL_ID = -(1 << 63)
 
@@ -84,9 +90,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of texts put together, that end at `ends`: the stretches of window starts with one anchor, as arrays.
 
-    anchor (its hash), content (hash of all the stretch's bytes), text, start, end: bytes of the text that it covers.
+    anchor (its hash), content (hash of all the stretch's bytes), text, start, end: bytes of the text that it covers,
+    marks: for each of MARKS strings around the anchor a byte, 1 to 255, or 0 if the stretch doesn't hold it.
     """
-    none = tuple(np.zeros(0, t) for t in (_U, _U, np.int64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (_U, _U, *[np.int64] * 4))
     if len(data) < LENGTH:
         return none
     hashes = _gram_hashes(data)
@@ -107,7 +114,15 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     powers, inverse = _powers(len(data))
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUE[data] * powers, dtype=_U)])
     content = _mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(_U))
-    return hashes[spot[first]], content, text, begin - starts[text], end - starts[text]
+    spot = spot[first]
+
+    marks = np.zeros(len(spot), np.int64)
+    for k in range(MARKS):
+        a, b = spot - k * SHIFT, spot + (LENGTH - SHIFT - k * SHIFT)
+        there = (a >= begin) & (b <= end)
+        a, b = np.where(there, a, 0), np.where(there, b, 0)
+        marks = marks << 8 | np.where(there, _mix((sums[b] - sums[a]) * inverse[a]) % _U(255) + _U(1), _U(0)).astype(np.int64)
+    return hashes[spot], content, text, begin - starts[text], end - starts[text], marks
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -145,11 +160,21 @@ def _joined(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray
     return data, np.cumsum([len(p) for *_, p in parts]), np.array([k for k, *_ in parts]), np.array([a for _, a, _ in parts])
 
 
-ROWS = "key long, anchor long, content long, doc long, tie long, start int, end int, covered boolean"
+FIELDS = ("anchor", "content", "doc", "tie", "start", "end", "marks")
+
 
+def _packed(rows: dict[str, np.ndarray]) -> bytes:
+    """Rows as bytes, place by place of the numbers, so that what is alike stands together."""
+    place = rows["start"] << 8 | (rows["end"] - rows["start"])
+    numbers = np.stack([*(rows[c].view(np.int64) for c in FIELDS[:4]), place, rows["marks"]])
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1)).tobytes()
 
-def _arrow(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == _U else v) for v in columns.values()], list(columns))
+
+def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(6, 8, -1).transpose(0, 2, 1)).view(np.int64)[..., 0] for b in blobs]
+    numbers = np.concatenate(parts, axis=1)
+    start = numbers[4] >> 8
+    return dict(zip(FIELDS, (numbers[0].view(_U), numbers[1].view(_U), *numbers[2:4], start, start + (numbers[4] & 255), numbers[5]), strict=True))
 
 
 def _first_of(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -166,32 +191,41 @@ def _first_of(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np
     return {k: v[~twin] for k, v in rows.items()}, (copy & ~as_first)[~twin]
 
 
-def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[dict[str, np.ndarray]] = []
-    n = 0
-
-    def flush() -> pa.RecordBatch:
-        rows, copy = _first_of({c: np.concatenate([h[c] for h in held]) for c in held[0]})
-        held.clear()
-        spread = _mix(rows["doc"].astype(_U) * _U(_BASE) + rows["start"].astype(_U))
-        return _arrow({"key": np.where(copy, spread, rows["anchor"]), **rows, "covered": copy})
-
-    for batch, texts in slices(batches):
-        doc, tie = (np.array(batch.column(c)) for c in ("doc", "tie"))
-        for data, ends, number, base in _text_blocks([t.encode("utf-8", "surrogatepass") for t in texts]):
-            anchor, content, part, start, end = stretches(data, ends)
-            if len(anchor):
-                held.append({"anchor": anchor, "content": content, "doc": doc[number[part]], "tie": tie[number[part]], "start": (start + base[part]).astype(np.int32), "end": (end + base[part]).astype(np.int32)})
-                n += len(anchor)
-        if n >= HELD:
-            yield flush()
-            n = 0
-    if held:
-        yield flush()
+def _finder(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (part, cell, rows): stretches by cell of their anchor, and under cell -1 those that a task knows as copies."""
+    cells = parts * CELLS
+
+    def flush(held: list[dict[str, np.ndarray]], salt: int) -> pa.RecordBatch:
+        rows, copy = _first_of({c: np.concatenate([h[c] for h in held]) for c in FIELDS})
+        kept, gone = ({c: v[x] for c, v in rows.items()} for x in (~copy, copy))
+        cell = ((kept["anchor"] >> _U(32)) * _U(cells) >> _U(32)).astype(np.int64)
+        at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)]).tolist()
+        out = [(int(cell[a]) // CELLS, int(cell[a]), _packed({c: v[a:b] for c, v in kept.items()})) for a, b in zip(at, [*at[1:], len(cell)], strict=True)]
+        for k, a in enumerate(range(0, len(gone["doc"]), 20_000)):
+            out.append(((salt + 7 * k) % parts, -1, _packed({c: v[a : a + 20_000] for c, v in gone.items()})))
+        return _table(out, pa.schema([("part", pa.int32()), ("cell", pa.int32()), ("rows", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        n, salt = 0, TaskContext.get().partitionId() * 31
+        for batch, texts in slices(batches):
+            doc, tie = (np.array(batch.column(c)) for c in ("doc", "tie"))
+            for data, ends, number, base in _text_blocks([t.encode("utf-8", "surrogatepass") for t in texts]):
+                anchor, content, part, start, end, marks = stretches(data, ends)
+                if len(anchor):
+                    held.append(dict(zip(FIELDS, (anchor, content, doc[number[part]], tie[number[part]], start + base[part], end + base[part], marks), strict=True)))
+                    n += len(anchor)
+            if n >= HELD:
+                yield flush(held, salt)
+                held, n, salt = [], 0, salt + 1
+        if held:
+            yield flush(held, salt)
+
+    return run
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.RecordBatch]:
-    """Batches in which no group of neighbours with one key is cut, of `least` rows or bytes."""
+    """Batches in which no group of neighbours with one key is cut, of `least` rows or more."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -214,20 +248,40 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> It
 FOUND = "anchor long, doc long, tie long, start int, end int, covered boolean"
 
 
+def _found(rows: dict[str, np.ndarray], covered: np.ndarray) -> pa.RecordBatch:
+    columns = (rows["anchor"].view(np.int64), rows["doc"], rows["tie"], rows["start"].astype(np.int32), rows["end"].astype(np.int32), covered)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in FOUND.split(", ")])
+
+
+def _agree(group: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which rows have a mark that another of their group has in its place, too."""
+    out = np.zeros(len(group), bool)
+    for k in range(MARKS):
+        mark = marks >> 8 * k & 255
+        _, number, counts = np.unique(group * 256 + mark, return_inverse=True, return_counts=True)
+        out |= (mark > 0) & (counts[number] > 1)
+    return out
+
+
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is covered, and the distinct stretches of anchors that have several."""
-    for batch in _whole_groups(batches, "key", 200_000):
-        done = np.array(batch.column("covered"))
-        columns = {c: batch.column(c).to_numpy() for c in ("anchor", "content", "doc", "tie", "start", "end")}
-        rows, copy = _first_of({c: v[~done] for c, v in columns.items()})
-        if len(copy):
-            group = np.concatenate([[0], np.cumsum(rows["anchor"][1:] != rows["anchor"][:-1])])
-            fresh = np.append(True, (rows["content"][1:] != rows["content"][:-1]) | (rows["anchor"][1:] != rows["anchor"][:-1]))
-            asked = fresh & (np.bincount(group, fresh)[group] > 1)
-            keep = copy | asked
-            yield _arrow({c: rows[c][keep] for c in ("anchor", "doc", "tie", "start", "end")} | {"covered": copy[keep]})
-        if done.any():
-            yield _arrow({c: columns[c][done] for c in ("anchor", "doc", "tie", "start", "end")} | {"covered": done[done]})
+    """What is covered, and the open stretches: distinct ones that agree with another around their anchor."""
+    for batch in _whole_groups(batches, "cell", 1):
+        cell = batch.column("cell").to_numpy()
+        for k in np.unique(cell).tolist():
+            at = np.flatnonzero(cell == k)
+            blobs = batch.column("rows").slice(int(at[0]), len(at)).to_pylist()
+            if k < 0:
+                for b in blobs:
+                    gone = _unpacked([b])
+                    yield _found(gone, np.ones(len(gone["doc"]), bool))
+                continue
+            rows, copy = _first_of(_unpacked(blobs))
+            new = rows["anchor"][1:] != rows["anchor"][:-1]
+            group = np.concatenate([[0], np.cumsum(new)])
+            fresh = np.flatnonzero(np.append(True, new | (rows["content"][1:] != rows["content"][:-1])))
+            keep = copy.copy()
+            keep[fresh] |= _agree(group[fresh], rows["marks"][fresh])
+            yield _found({c: v[keep] for c, v in rows.items()}, copy[keep])
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,8 +303,10 @@ def _cut(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[int, int, str
     return int((end - start).sum()), len(start), kept.hexdigest()
 
 
-PASS = "kind string, doc_id long, doc long, tie long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, anchor long, start int, data binary, runs binary"
-RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+PARTS = "anchor long, doc long, tie long, start int, data binary"
+RESULTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = tuple(x.split()[0] for x in RESULTS.split(", "))
+_RESULTS = pa.schema([(n, pa.string() if n == "kept_sha256" else pa.int64()) for n in RESULT])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -262,28 +318,18 @@ def _pairs(x) -> tuple[np.ndarray, np.ndarray]:
     return flat[:, 0], flat[:, 1]
 
 
-_PASS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("anchor", pa.int64()), ("start", pa.int32()), ("data", pa.binary()), ("runs", pa.binary())])
+_PARTS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of documents without open questions; else the document and the bytes of the stretches asked for."""
+    """The bytes of the open stretches."""
     for batch, texts in slices(batches):
-        rows: list[tuple] = []
-        columns = [batch.column(c).to_pylist() for c in ("doc_id", "doc", "tie", "covered", "asked")]
-        for doc_id, doc, tie, covered, asked, text in zip(*columns, texts, strict=True):
+        rows = []
+        for doc, tie, asked, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "asked")), texts, strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            start, end = _pairs(covered)
-            if not asked:
-                rows.append(("done", doc_id, doc, tie, len(data), *_cut(data, start, end), None, None, None, None))
-                continue
-            runs = np.stack(merged(start, end)).astype("<i8").tobytes()
-            rows.append(("open", doc_id, doc, tie, len(data), None, None, None, None, None, data, runs))
-            rows += [("part", None, doc, tie, None, None, None, None, s["anchor"], s["start"], data[s["start"] : s["end"]], None) for s in asked]
-            if len(rows) > 5_000:
-                yield _table(rows, _PASS)
-                rows = []
+            rows += [(s["anchor"], doc, tie, s["start"], data[s["start"] : s["end"]]) for s in asked]
         if rows:
-            yield _table(rows, _PASS)
+            yield _table(rows, _PARTS)
 
 
 def repeated_windows(parts: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -325,15 +371,36 @@ def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-    for batch in batches:
+    for batch, texts in slices(batches):
         rows = []
-        for doc_id, data, runs, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "runs", "covered")), strict=True):
-            known, more = np.frombuffer(runs, "<i8").reshape(2, -1), _pairs(late)
-            rows.append((doc_id, len(data), *_cut(data, np.concatenate([known[0], more[0]]), np.concatenate([known[1], more[1]]))))
+        for doc_id, covered, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "covered")), texts, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            rows.append((doc_id, len(data), *_cut(data, *_pairs(covered))))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            yield _table(rows, _RESULTS)
+
+
+def _whole(touched) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Results of the documents that lose nothing, by the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            calm = batch.filter(pa.array(~passes(touched.value, np.array(batch.column("spot")))))
+            for part, texts in slices([calm]):
+                data = [t.encode("utf-8", "surrogatepass") for t in texts]
+                yield _table([(i, len(d), 0, 0, hashlib.sha256(d).hexdigest()) for i, d in zip(part.column("doc_id").to_pylist(), data, strict=True)], _RESULTS)
+
+    return run
+
+
+def _chosen(touched) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The other documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(touched.value, np.array(batch.column("spot")))))
+
+    return run
 
 
 def _twins(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -353,26 +420,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     a hash of their texts, and wholly equal rows one after the other. Null and empty texts have no bytes; texts under
     LENGTH bytes lose nothing. Other columns are ignored. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     #: Where every id is its own, no tie is left to break, and a constant takes no room in the shuffle.
     tie = F.lit(0).cast("long") if unique else F.xxhash64("text")
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), tie.alias("tie"))
-    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder, ROWS)
-    found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_matcher, FOUND), "found")
-
-    per_doc = found.groupBy("doc", "tie").agg(
-        F.collect_list(F.when(F.col("covered"), F.struct("start", "end"))).alias("covered"),
-        F.collect_list(F.when(~F.col("covered"), F.struct("anchor", "start", "end"))).alias("asked"),
-    )
-    firsts, again = (keyed, None) if unique else _twins(keyed)
-    passed = stored(firsts.join(per_doc, ["doc", "tie"], "left").select("doc_id", "doc", "tie", "text", "covered", "asked").mapInArrow(_cutter, PASS), "passed")
-    parts = passed.where("kind = 'part'").select("anchor", "doc", "tie", "start", "data")
-    late = parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorter, "doc long, tie long, start int, end int")
-    late = late.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
-    open_ = passed.where("kind = 'open'").select("doc_id", "doc", "tie", "data", "runs").join(late, ["doc", "tie"], "left")
-    closed = open_.select("doc_id", "data", "runs", "covered").mapInArrow(_closer, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    out = passed.where("kind = 'done'").select(*RESULT).unionByName(closed)
+    parts = shuffle_partitions(spark)
+    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(parts), "part int, cell int, rows binary")
+    found = stored(rows.repartitionById(parts, "part").sortWithinPartitions("cell").mapInArrow(_matcher, FOUND), "found")
+
+    texts, again = (keyed, None) if unique else _twins(keyed)
+    texts = texts.withColumn("spot", spot("doc", "tie"))
+    filtered = lambda rows: spark.sparkContext.broadcast(bit_filter(rows.select(spot("doc", "tie").alias("spot")), rows.select("doc", "tie").distinct().count()))
+
+    asked = found.where("not covered").groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("asked"))
+    open_ = texts.mapInArrow(_chosen(filtered(found.where("not covered"))), texts.schema).join(asked, ["doc", "tie"])
+    pieces = open_.select("doc", "tie", "asked", "text").mapInArrow(_cutter, PARTS)
+    late = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorter, "doc long, tie long, start int, end int")
+
+    covered = stored(found.where("covered").select("doc", "tie", "start", "end").unionByName(late), "covered")
+    touched = filtered(covered)
+    runs = covered.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    cut = texts.mapInArrow(_chosen(touched), texts.schema).join(runs, ["doc", "tie"], "left").select("doc_id", "text", "covered").mapInArrow(_closer, RESULTS)
+    out = cut.unionByName(texts.select("doc_id", "spot", "text").mapInArrow(_whole(touched), RESULTS))
     return out if again is None else out.unionByName(again)
 
 

@@ -37,9 +37,9 @@ GRAM = 24
 #: Any window holds one of the MARKS strings of LENGTH - SHIFT bytes that begin 0, SHIFT, 2 * SHIFT ... before its anchor.
 MARKS = 4
 SHIFT = (LENGTH - GRAM) // MARKS
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Stretches in which a map task looks for copies, and bytes of a shard's suffix array.
-HELD = 400_000
+HELD = 200_000
 CELLS = 4
 SHARD = 2 << 20
 NULL_ID = -(1 << 63)

@@ -12,12 +12,14 @@ one node stands for each class. Two nodes link when 100 * intersection >= 80 * u
 3. For shingles that still join several groups, the token-group matrix holds each group's token union. A query node
    opens a group only if their overlap reaches the bound l and a member's size fits, and in an open group it is
    compared with members that reach the bound themselves. A shingle of more than LIGHT groups is left out, and the
-   bound lowered by the number of such shingles that the node holds; nodes for which nothing would be left of it
-   meet each other by those shingles, too.
-4. Links of both rounds are joined into components.
+   bound lowered by the number of such shingles that the node holds.
+4. Nodes for which nothing is left of the bound hold little but such shingles: many unlike variants of one text, or
+   short texts around a common passage. Those that such shingles connect are cut into blocks of BLOCK_NODES, and each
+   pair of blocks is compared whole by one product of its token matrices, which returns a spanning forest of its links.
+5. Links of all rounds are joined into components.
 
 No link between different sets is lost: a pair in one group needs no further test, and a linked pair in two groups
-meets every condition of step 3, seen from at least one of its sides. What reaches the driver is the level table,
+meets every condition of step 3, seen from one of its sides, or both its sides are in step 4. What reaches the driver is the level table,
 LEVEL_CELLS counts, and a bounded filter for the documents whose sets are read again.
 """
 
@@ -40,6 +42,7 @@ PERCENT = 80
 LEVEL_CELLS = 1 << 19
 CHUNK = 1 << 14
 LIGHT = 32
+BLOCK_NODES = 512
 BLOCK = 4 << 20
 
 _U = np.uint64
@@ -284,42 +287,96 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(to, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("_r", "node")).drop("_n", "_r")
 
 
-def _candidates(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap; sizes has node, n."""
+def _posts(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Postings of tokens that several groups hold: token, node, group, heavy, and the node's n, bound l, heavy tokens h.
+
+    full: whether h reaches the bound that the node has with its smallest partners.
+    """
     posts = _grouped(shared.select("token", "node"), groups)
-    matrix = posts.select("token", F.col("group").alias("g")).distinct()
-    several = matrix.groupBy("token").agg((F.count("*") > LIGHT).alias("heavy"), F.count("*").alias("c")).where("c > 1").select("token", "heavy")
-    posts = posts.join(several, "token")
-    bound, near = _bound_of("n"), _bound_of(f"(n * {percent} + 99) div 100")
-    held = posts.groupBy("node").agg(F.count_if("heavy").alias("h")).join(sizes, "node")
-    held = held.select("node", "n", "h", bound.alias("l"), (F.col("h") >= near).alias("full"))
-    #: A heavy shingle joins only nodes that hold so many of them that the bound would vanish.
-    posts = checkpoint(posts.join(held, "node").where("full or not heavy"))
-
-    spans = posts.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"))
-    matrix = posts.select("token", F.col("group").alias("g")).distinct()
-    asked = posts.select("token", F.col("node").alias("q"), "group", "heavy").join(matrix, "token").where("group <> g")
-    asked = asked.groupBy("q", "g").agg(F.count("*").alias("c"), F.count_if(~F.col("heavy")).alias("light"))
-    mine = held.select(F.col("node").alias("q"), F.col("n").alias("nq"), "h", F.col("l").alias("lq"), "full")
-    asked = asked.join(mine, "q").join(spans, "g")
-    fits = (100 * F.col("most") >= percent * F.col("nq")) & (percent * F.col("least") <= 100 * F.col("nq"))
-    opened = asked.where(fits & _reaches("lg")).select("q", "g", "nq", "h", "lq", "full")
-
-    theirs = posts.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"))
-    pairs = posts.select("token", F.col("node").alias("q"), "heavy").join(opened, "q").join(theirs, ["token", "g"])
-    pairs = pairs.where((100 * F.col("nd") >= percent * F.col("nq")) & (percent * F.col("nd") <= 100 * F.col("nq")))
-    pairs = pairs.groupBy("q", "d", "h", "lq", "ld", "full").agg(F.count("*").alias("c"), F.count_if(~F.col("heavy")).alias("light"))
+    held = posts.select("token", "group").distinct().groupBy("token").agg(F.count("*").alias("c"))
+    posts = posts.join(held.where("c > 1").select("token", (F.col("c") > LIGHT).alias("heavy")), "token")
+    own = posts.groupBy("node").agg(F.count_if("heavy").alias("h")).join(sizes, "node")
+    own = own.select("node", "n", "h", _bound_of("n").alias("l"), (F.col("h") >= _bound_of(f"(n * {percent} + 99) div 100")).alias("full"))
+    return checkpoint(posts.join(own, "node"))
+
+
+def _candidates(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap, seen from a node that isn't full."""
+    light = posts.where("not heavy")
+    asking = light.where("not full").select("token", F.col("node").alias("q"), "group", F.col("n").alias("nq"), "h", F.col("l").alias("lq"))
+    matrix = light.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"))
+    fits = lambda low, high: (100 * F.col(high) >= percent * F.col("nq")) & (percent * F.col(low) <= 100 * F.col("nq"))
+    asked = asking.join(matrix, "token").where((F.col("group") != F.col("g")) & fits("least", "most"))
+    asked = asked.groupBy("q", "g", "nq", "h", "lq").agg(F.count("*").alias("light"), F.min("lg").alias("lg"))
+    opened = asked.where(_reaches("lg")).select("q", "g")
+
+    theirs = light.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"))
+    pairs = asking.drop("group").join(opened, "q").join(theirs, ["token", "g"]).where(fits("nd", "nd"))
+    pairs = pairs.groupBy("q", "d", "h", "lq", "ld").agg(F.count("*").alias("light"))
     return pairs.where(_reaches("ld")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
 
 
+def _forest(size: int, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between 0 ... size - 1 those that join what the ones before have not."""
+    root = list(range(size))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in zip(one.tolist(), two.tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            out.append((a, b))
+    return out
+
+
+def linked_forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, from the product of their token matrix with itself."""
+    size = np.array([len(s) for s in sets])
+    tokens, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), often[column] > 1
+    number = np.cumsum(often > 1) - 1
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    row, column = row[shared], number[column[shared]]
+    step = 4096
+    for first in range(0, int((often > 1).sum()), step):
+        here = (column >= first) & (column < first + step)
+        part = np.zeros((len(sets), step), np.float32)
+        part[row[here], column[here] - first] = 1
+        overlap += part @ part.T
+    good = 100 * overlap >= percent * (size[:, None] + size[None, :] - overlap)
+    return _forest(len(sets), *np.nonzero(np.triu(good, 1)))
+
+
+def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = rows.node.to_numpy()
+        found = linked_forest([np.frombuffer(t, _U) for t in rows.tokens], percent)
+        return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}, dtype=np.int64)
+
+    return run
+
+
+def _full_links(full: DataFrame, clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all full nodes of a cluster that are linked; full has node, clusters as from components."""
+    placed = _grouped(full, clusters)
+    blocks = placed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("k")).withColumnRenamed("group", "cluster")
+    placed = placed.join(blocks, F.col("group") == F.col("cluster")).withColumn("i", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    with_sets = placed.join(sets, "node").select("cluster", "node", "tokens", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    return with_sets.groupBy("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).applyInPandas(_block_links(percent), "a long, b long")
+
+
 def _bound_of(size: str):
     return F.expr(f"({size}) div 10 + 1")
 
 
 def _reaches(other: str):
-    """Whether the shared shingles, all or but the heavy ones, reach the bound of the query and the other side."""
-    bound = F.least("lq", other)
-    return F.when(F.col("full"), F.col("c") >= bound).otherwise(F.col("light") >= F.greatest(F.lit(1), bound - F.col("h")))
+    """Whether the light shared shingles reach what the bound of both sides leaves for them."""
+    return F.col("light") >= F.greatest(F.lit(1), F.least("lq", other) - F.col("h"))
 
 
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -347,9 +404,15 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
     edges = checkpoint(verified(stars, _sets_of(docs, both(stars), classes, n), percent))
     groups = components(edges)
-    pairs = checkpoint(_candidates(shared, sizes, groups, percent))
-    if not pairs.isEmpty():
-        more = verified(pairs, _sets_of(docs, both(pairs), classes, n), percent)
+    posts = _posts(shared, sizes, groups, percent)
+    pairs = checkpoint(_candidates(posts, percent))
+    crowd = posts.where("full and heavy")
+    hubs = crowd.groupBy("token").agg(F.min("node").alias("b"))
+    clusters = components(crowd.select("token", F.col("node").alias("a")).join(hubs, "token").select("a", "b"))
+    packed = checkpoint(crowd.select("node").distinct())
+    again = _sets_of(docs, both(pairs).unionByName(packed), classes, n)
+    more = checkpoint(verified(pairs, again, percent).unionByName(_full_links(packed, clusters, again, percent)))
+    if not more.isEmpty():
         groups = components(edges.unionByName(more))
     labelled = _grouped(classes, groups)
     low = labelled.groupBy("group").agg(F.min("class_id").alias("component_id"))

@@ -114,3 +114,30 @@ def test_links_is_exact_at_the_threshold():
     a = np.arange(10, dtype=np.uint64)
     assert ngram_join.links(a[:8], a) and not ngram_join.links(a[:7], a)
     assert ngram_join.links(a, np.arange(1, 10, dtype=np.uint64))
+
+
+def test_crowded_shingles(spark, monkeypatch):
+    """Many unlike variants of one text, compared in blocks, beside documents that share only a passage."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 16)
+    r = random.Random(4)
+    base, passage = [f"w{i}" for i in range(90)], [f"p{i}" for i in range(25)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(r.randint(0, 12)):
+            text[r.randrange(90)] = f"x{r.randrange(10**6)}"
+        own = [f"y{r.randrange(10**6)}" for _ in range(r.randint(0, 60))]
+        rows.append((i, " ".join(text if i % 2 else own[:20] + passage + own[20:]), "en", "s"))
+    assert compare(spark, rows) > 50
+
+
+def test_forest_joins_what_links_join():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 60, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(80, 100), False), r.integers(0, 1 << 60, r.integers(0, 9), dtype=np.uint64)])) for _ in range(60)]
+    links = [(a, b) for a in range(60) for b in range(a + 1, 60) if ngram_join.links(sets[a], sets[b])]
+    forest = ngram_join.linked_forest(sets)
+    assert set(forest) <= set(links)
+    part = lambda edges: len(ngram_join._forest(60, np.array([a for a, _ in edges]), np.array([b for _, b in edges])))
+    assert part(links) == part(forest) == len(forest) > 5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.functions import fixed
@@ -27,7 +27,7 @@ def parse_channel(raw: Column, kind: Column, method: Column | None = None) -> Co
     A message kind, or an unknown one that looks like a topic, gives a topic; then RPC names; then anything with a
     scheme or a leading slash, or of a kind like HTTP, gives a path; the rest stays opaque.
     """
-    raw = F.trim(F.lit("\"'"), F.trim(F.coalesce(raw, F.lit(""))))
+    raw = F.trim(F.trim(F.coalesce(raw, F.lit(""))), F.lit("\"'"))
     kind = F.coalesce(kind, F.lit("unknown"))
     verb = F.upper(F.trim(F.coalesce(method, F.lit("")) if method is not None else F.lit("")))
     verb = F.when(verb.isin(*fixed.HTTP_METHODS), verb)
@@ -43,7 +43,7 @@ def parse_channel(raw: Column, kind: Column, method: Column | None = None) -> Co
 
     return (
         F.when(message, made(F.when(kind.isin(*fixed.MQ_KINDS), kind).otherwise(F.lit("kafka")), nothing, F.lit("/"), raw))
-        .when(rpc, made(F.lit("grpc"), nothing, F.lit("/"), F.ltrim(F.lit("/"), raw)))
+        .when(rpc, made(F.lit("grpc"), nothing, F.lit("/"), F.ltrim(raw, F.lit("/"))))
         .when(F.contains(raw, F.lit("://")), made(web, F.nullif(F.lower(F.regexp_extract(raw, url, 1)), F.lit("")), norm_path(F.regexp_extract(raw, url, 2)), nothing))
         .when(F.startswith(raw, F.lit("/")) | kind.isin(*fixed.HTTP_KINDS), made(web, nothing, norm_path(raw), nothing))
         .otherwise(made(F.lit("unknown"), nothing, F.lit("/"), F.nullif(raw, F.lit(""))))
@@ -60,39 +60,50 @@ def without_prefix(parts: Column, prefix: Column) -> Column:
     return F.when((n > 0) & (F.slice(parts, 1, n) == prefix), F.slice(parts, n + 1, F.size(parts))).otherwise(parts)
 
 
-def path_score(out: Column, endpoint: Column) -> Column:
-    """How well an endpoint's segments cover the tail of a channel's; 0 for not at all, rounded half to even."""
+def aligned(out: Column, endpoint: Column) -> Column:
+    """The tail of a channel's segments against an endpoint's: 1 for alike, 0 for wild, -1 for different, each."""
+    tail = F.slice(out, F.greatest(F.size(out) - F.size(endpoint), F.lit(0)) + 1, F.size(endpoint))
+    return F.zip_with(tail, endpoint, lambda o, e: F.when(is_wild(o) | is_wild(e), 0).when(F.lower(o) == F.lower(e), 1).otherwise(-1))
+
+
+def with_path_score(df: DataFrame, out: str, endpoint: str, name: str = "path_score") -> DataFrame:
+    """df with how well an endpoint's segments cover the tail of a channel's; 0 for not at all, rounded half to even.
+
+    Steps are columns of their own, so that each is computed once.
+    """
     n, m = F.size(out), F.size(endpoint)
-    tail = F.slice(out, n - m + 1, m)
-    pairs = F.zip_with(tail, endpoint, lambda o, e: F.when(is_wild(o) | is_wild(e), 0).when(F.lower(o) == F.lower(e), 1).otherwise(-1))
-    hits = F.size(F.filter(pairs, lambda x: x == 1))
-    wrong = F.exists(pairs, lambda x: x == -1)
+    df = df.withColumn("_pairs", aligned(F.col(out), F.col(endpoint)))
+    df = df.withColumn("_hits", F.size(F.filter("_pairs", lambda x: x == 1))).withColumn("_wrong", F.array_contains("_pairs", -1))
     literal = F.exists(endpoint, lambda e: ~is_wild(e))
     base = F.when(m == n, fixed.EXACT_BASE).otherwise(fixed.SUFFIX_BASE)
-    score = F.bround((base * (0.5 + 0.5 * hits / m)).cast("double"), 4)
-    return F.when(m == 0, F.when(n == 0, 0.5).otherwise(0.0)).when(m > n, 0.0).when(wrong | ((hits == 0) & literal), 0.0).otherwise(score)
-
-
-def match_score(channel: Column, endpoint: Column, tokens: Column, prefix: Column) -> Column:
-    """The score of channel and endpoint structs (kind, method, host, path, topic) for a service's tokens and base path."""
-    mq = channel["kind"].isin(*fixed.MQ_KINDS) | endpoint["kind"].isin(*fixed.MQ_KINDS)
-    topics = (F.length(channel["topic"]) > 0) & (F.length(endpoint["topic"]) > 0)
-    same = F.lower(channel["topic"]) == F.lower(endpoint["topic"])
-    by_topic = F.when(endpoint["kind"].isin(*fixed.MQ_KINDS) & topics & same, 1.0).otherwise(0.0)
-    rpc = (channel["kind"] == "grpc") | (endpoint["kind"] == "grpc")
-    a, b = (F.ltrim(F.lit("/"), F.lower(x["topic"])) for x in (channel, endpoint))
+    score = F.bround((base * (0.5 + 0.5 * F.col("_hits") / m)).cast("double"), 4)
+    none = F.col("_wrong") | ((F.col("_hits") == 0) & literal)
+    whole = F.when(m == 0, F.when(n == 0, 0.5).otherwise(0.0)).when(m > n, 0.0).when(none, 0.0).otherwise(score)
+    return df.withColumn(name, whole).drop("_pairs", "_hits", "_wrong")
+
+
+def with_match_score(df: DataFrame) -> DataFrame:
+    """df with the score of its channel and endpoint (structs of kind, method, host, path, topic) for tokens and base_path."""
+    c, e = (lambda f: F.col(f"channel.{f}")), (lambda f: F.col(f"endpoint.{f}"))
+    topics = (F.length(c("topic")) > 0) & (F.length(e("topic")) > 0)
+    same = F.lower(c("topic")) == F.lower(e("topic"))
+    by_topic = F.when(e("kind").isin(*fixed.MQ_KINDS) & topics & same, 1.0).otherwise(0.0)
+    a, b = (F.ltrim(F.lower(x("topic")), F.lit("/")) for x in (c, e))
     last = F.element_at(F.split(b, "/"), -1)
-    by_rpc = F.when((endpoint["kind"] == "grpc") & topics, F.when(a == b, 1.0).when(F.endswith(a, F.concat(F.lit("/"), last)), fixed.RPC_SUFFIX)).otherwise(0.0)
-
-    parts = segments(prefix)
-    out, own = (without_prefix(segments(x["path"]), parts) for x in (channel, endpoint))
-    host = F.lower(F.coalesce(channel["host"], F.lit("")))
-    named = (host != "") & F.exists(tokens, lambda t: (t != "") & F.contains(host, F.lower(t)))
-    other_verb = channel["method"].isNotNull() & endpoint["method"].isNotNull() & (channel["method"] != endpoint["method"])
-    path = path_score(out, own)
-    scored = path * F.when(other_verb, fixed.VERB_MISMATCH).otherwise(1.0)
-    scored = F.when(~host_is_local(channel["host"]) & named, F.least(F.lit(1.0), scored + fixed.HOST_BOOST)).otherwise(scored)
-    alone = (F.size(out) == 0) & named & endpoint["kind"].isin(*fixed.HTTP_KINDS)
-    by_host = F.when(alone, fixed.HOST_ONLY * F.when(other_verb, fixed.HOST_VERB_MISMATCH).otherwise(1.0)).otherwise(0.0)
-    by_path = F.when(path > 0, scored).otherwise(by_host)
-    return F.bround(F.coalesce(F.when(mq, by_topic).when(rpc, by_rpc).otherwise(by_path), F.lit(0.0)).cast("double"), 4)
+    by_rpc = F.when((e("kind") == "grpc") & topics, F.when(a == b, 1.0).when(F.endswith(a, F.concat(F.lit("/"), last)), fixed.RPC_SUFFIX)).otherwise(0.0)
+
+    df = df.withColumn("_prefix", segments(F.col("base_path")))
+    df = df.withColumn("_out", without_prefix(segments(c("path")), F.col("_prefix"))).withColumn("_own", without_prefix(segments(e("path")), F.col("_prefix")))
+    df = with_path_score(df, "_out", "_own", "_path")
+    host = F.lower(F.coalesce(c("host"), F.lit("")))
+    df = df.withColumn("_named", (host != "") & F.exists("tokens", lambda t: (t != "") & F.contains(host, F.lower(t))))
+    df = df.withColumn("_other", F.coalesce(c("method") != e("method"), F.lit(False)))
+    scored = F.col("_path") * F.when(F.col("_other"), fixed.VERB_MISMATCH).otherwise(1.0)
+    scored = F.when(~host_is_local(c("host")) & F.col("_named"), F.least(F.lit(1.0), scored + fixed.HOST_BOOST)).otherwise(scored)
+    alone = (F.size("_out") == 0) & F.col("_named") & e("kind").isin(*fixed.HTTP_KINDS)
+    by_host = F.when(alone, fixed.HOST_ONLY * F.when(F.col("_other"), fixed.HOST_VERB_MISMATCH).otherwise(1.0)).otherwise(0.0)
+    by_path = F.when(F.col("_path") > 0, scored).otherwise(by_host)
+    mq = c("kind").isin(*fixed.MQ_KINDS) | e("kind").isin(*fixed.MQ_KINDS)
+    rpc = (c("kind") == "grpc") | (e("kind") == "grpc")
+    score = F.bround(F.coalesce(F.when(mq, by_topic).when(rpc, by_rpc).otherwise(by_path), F.lit(0.0)).cast("double"), 4)
+    return df.withColumn("score", score).drop("_prefix", "_out", "_own", "_path", "_named", "_other")

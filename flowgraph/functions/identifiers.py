@@ -47,7 +47,7 @@ def parse_location(c: Column) -> Column:
 
     def made(pattern: str, groups: tuple[int, ...]) -> Column:
         parts = [_int(F.regexp_extract(line, pattern, g)) for g in groups]
-        file = F.trim(F.lit('"'), F.regexp_extract(line, pattern, 1))
+        file = F.trim(F.regexp_extract(line, pattern, 1), F.lit('"'))
         names = ("start_line", "end_line", "start_column", "end_column")
         return F.when(line.rlike(pattern), F.struct(file.alias("file"), *[p.alias(n) for p, n in zip(parts, names, strict=True)]))
 
@@ -89,7 +89,7 @@ def sanitize_app_name(c: Column) -> Column:
 
 
 def loose_term(c: Column) -> Column:
-    return F.trim(F.lit("\"'"), F.trim(F.lower(c)))
+    return F.trim(F.trim(F.lower(c)), F.lit("\"'"))
 
 
 def escape_regex(c: Column) -> Column:

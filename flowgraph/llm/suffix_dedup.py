@@ -122,7 +122,8 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         there = (a >= begin) & (b <= end)
         a, b = np.where(there, a, 0), np.where(there, b, 0)
         marks = marks << 8 | np.where(there, _mix((sums[b] - sums[a]) * inverse[a]) % _U(255) + _U(1), _U(0)).astype(np.int64)
-    return hashes[spot], content, text, begin - starts[text], end - starts[text], marks
+    #: Least hashes are small; mixed once more they spread over all cells.
+    return _mix(hashes[spot] ^ _U(_BASE)), content, text, begin - starts[text], end - starts[text], marks
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -70,6 +70,13 @@ def test_stretches_depend_on_windows_alone():
     assert [x.tolist() for x in both[3:5]] == [sum(x, []) for x in zip(*([y.tolist() for y in suffix_dedup.stretches(d, np.array([700]))[3:5]] for d in (a, b)))]
 
 
+def test_anchors_spread_over_cells():
+    data = np.random.default_rng(1).integers(0, 256, 200_000, dtype=np.uint8)
+    anchor, *_ = suffix_dedup.stretches(data, np.array([len(data)]))
+    counts = np.bincount((anchor >> np.uint64(60)).astype(int), minlength=16)
+    assert counts.min() > 0.7 * counts.mean() and counts.max() < 1.3 * counts.mean()
+
+
 def test_long_texts_come_in_overlapping_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 300)
     texts = [b"a" * 10, bytes(range(256)) * 5, b"", b"b" * 301, b"c" * 300]

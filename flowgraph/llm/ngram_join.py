@@ -43,6 +43,7 @@ LEVEL_CELLS = 1 << 19
 CHUNK = 1 << 14
 LIGHT = 32
 BLOCK_NODES = 512
+LOCAL_EDGES = 1 << 20
 BLOCK = 4 << 20
 
 _U = np.uint64
@@ -257,15 +258,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(fits).select("a", "b", "set_a", "set_b").mapInArrow(_checker(percent), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of edges (a, b), by one union-find; roots are the least nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    found = [(x, r) for x in root if (r := find(x)) != x]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "root"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) of the nodes of edges (a, b) that aren't their component's least node, which is the root.
 
-    Each round hooks every node to its least neighbour, jumps to the roots by doubling, and keeps the edges that
-    still join different roots.
+    Up to `local` edges are one task's work. While there are more, each round hooks every node to its least
+    neighbour, jumps to the roots by doubling, and keeps the edges that still join different roots.
     """
-    edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    found = None
-    while not edges.isEmpty():
+    put = lambda df: checkpoint(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges, found = put(edges), None
+    while edges.count() > local:
         up = checkpoint(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
         while True:
             above = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -273,12 +292,16 @@ def components(edges: DataFrame) -> DataFrame:
             up = jumped.drop("_moved")
             if jumped.where("_moved").isEmpty():
                 break
-        to = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        moved = lambda df, c: df.join(to, F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_r", c)).drop("_n", "_r")
-        found = checkpoint(up if found is None else moved(found, "root").unionByName(up))
-        edges = moved(moved(edges, "a"), "b").where("a <> b")
-        edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        found = up if found is None else checkpoint(_moved(found, up, "root").unionByName(up))
+        edges = put(_moved(_moved(edges, up, "a"), up, "b"))
+    rest = edges.coalesce(1).mapInArrow(_roots, "node long, root long")
+    return checkpoint(rest if found is None else _moved(found, rest, "root").unionByName(rest))
+
+
+def _moved(df: DataFrame, up: DataFrame, column: str) -> DataFrame:
+    """df with the nodes in a column as their roots."""
+    to = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return df.join(to, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_r", column)).drop("_n", "_r")
 
 
 def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -95,10 +95,11 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
     assert len(whole[0]) == 5 and len(whole[4]) == 50 and len(set(whole[4])) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 40, 1 << 20])
+def test_components(spark, local):
     r = random.Random(3)
     edges = [(a, r.choice([a - 1, r.randrange(a)])) for a in r.sample(range(1, 300), 200)] + [(5, 5), (7, 2), (2, 7)]
-    found = {x.node: x.root for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {x.node: x.root for x in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     root = {x: x for e in edges for x in e}
 
     def find(x):

@@ -39,9 +39,10 @@ MARKS = 4
 SHIFT = (LENGTH - GRAM) // MARKS
 BLOCK = 1 << 18
 #: Stretches in which a map task looks for copies, and bytes of a shard's suffix array.
-HELD = 200_000
+HELD = 100_000
+SHARD = 1 << 19
+#: Cells of anchors to each shuffle partition of the session: a task holds one cell.
 CELLS = 4
-SHARD = 2 << 20
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
@@ -192,19 +193,18 @@ def _first_of(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np
     return {k: v[~twin] for k, v in rows.items()}, (copy & ~as_first)[~twin]
 
 
-def _finder(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (part, cell, rows): stretches by cell of their anchor, and under cell -1 those that a task knows as copies."""
-    cells = parts * CELLS
+def _finder(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cell, copies, rows): stretches by cell of their anchor, and in any cell those that a task knows as copies."""
 
     def flush(held: list[dict[str, np.ndarray]], salt: int) -> pa.RecordBatch:
         rows, copy = _first_of({c: np.concatenate([h[c] for h in held]) for c in FIELDS})
         kept, gone = ({c: v[x] for c, v in rows.items()} for x in (~copy, copy))
         cell = ((kept["anchor"] >> _U(32)) * _U(cells) >> _U(32)).astype(np.int64)
         at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)]).tolist()
-        out = [(int(cell[a]) // CELLS, int(cell[a]), _packed({c: v[a:b] for c, v in kept.items()})) for a, b in zip(at, [*at[1:], len(cell)], strict=True)]
-        for k, a in enumerate(range(0, len(gone["doc"]), 20_000)):
-            out.append(((salt + 7 * k) % parts, -1, _packed({c: v[a : a + 20_000] for c, v in gone.items()})))
-        return _table(out, pa.schema([("part", pa.int32()), ("cell", pa.int32()), ("rows", pa.binary())]))
+        out = [(int(cell[a]), False, _packed({c: v[a:b] for c, v in kept.items()})) for a, b in zip(at, [*at[1:], len(cell)], strict=True)]
+        step = 5_000
+        out += [((salt + 7 * k) % cells, True, _packed({c: v[a : a + step] for c, v in gone.items()})) for k, a in enumerate(range(0, len(gone["doc"]), step))]
+        return _table(out, pa.schema([("cell", pa.int32()), ("copies", pa.bool_()), ("rows", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -266,23 +266,23 @@ def _agree(group: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is covered, and the open stretches: distinct ones that agree with another around their anchor."""
-    for batch in _whole_groups(batches, "cell", 1):
-        cell = batch.column("cell").to_numpy()
-        for k in np.unique(cell).tolist():
-            at = np.flatnonzero(cell == k)
-            blobs = batch.column("rows").slice(int(at[0]), len(at)).to_pylist()
-            if k < 0:
-                for b in blobs:
-                    gone = _unpacked([b])
-                    yield _found(gone, np.ones(len(gone["doc"]), bool))
-                continue
-            rows, copy = _first_of(_unpacked(blobs))
-            new = rows["anchor"][1:] != rows["anchor"][:-1]
-            group = np.concatenate([[0], np.cumsum(new)])
-            fresh = np.flatnonzero(np.append(True, new | (rows["content"][1:] != rows["content"][:-1])))
-            keep = copy.copy()
-            keep[fresh] |= _agree(group[fresh], rows["marks"][fresh])
-            yield _found({c: v[keep] for c, v in rows.items()}, copy[keep])
+    blobs = []
+    for batch in batches:
+        for copies, rows in zip(batch.column("copies").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            if copies:
+                gone = _unpacked([rows])
+                yield _found(gone, np.ones(len(gone["doc"]), bool))
+            else:
+                blobs.append(rows)
+    if blobs:
+        rows, copy = _first_of(_unpacked(blobs))
+        blobs.clear()
+        new = rows["anchor"][1:] != rows["anchor"][:-1]
+        group = np.concatenate([[0], np.cumsum(new)])
+        fresh = np.flatnonzero(np.append(True, new | (rows["content"][1:] != rows["content"][:-1])))
+        keep = copy.copy()
+        keep[fresh] |= _agree(group[fresh], rows["marks"][fresh])
+        yield _found({c: v[keep] for c, v in rows.items()}, copy[keep])
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -426,9 +426,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     #: Where every id is its own, no tie is left to break, and a constant takes no room in the shuffle.
     tie = F.lit(0).cast("long") if unique else F.xxhash64("text")
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), tie.alias("tie"))
-    parts = shuffle_partitions(spark)
-    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(parts), "part int, cell int, rows binary")
-    found = stored(rows.repartitionById(parts, "part").sortWithinPartitions("cell").mapInArrow(_matcher, FOUND), "found")
+    cells = CELLS * shuffle_partitions(spark)
+    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(cells), "cell int, copies boolean, rows binary")
+    found = stored(rows.repartitionById(cells, "cell").mapInArrow(_matcher, FOUND), "found")
 
     texts, again = (keyed, None) if unique else _twins(keyed)
     texts = texts.withColumn("spot", spot("doc", "tie"))

@@ -52,7 +52,7 @@ def check_records(responses: DataFrame) -> DataFrame:
 
 
 def _operations(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"\|"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def pairs(records: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def pruned(assessment: Column, satisfiable: Column, valid: Column, on: bool = Tr
 
 def empty_constraints(text: Column) -> Column:
     """Whether there is nothing to solve: no line but comments, or none that asserts; the template's own texts have none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda s: (s != "") & ~F.startswith(s, F.lit(";")))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~F.startswith(s, F.lit(";")))
     return ~F.exists(lines, lambda s: F.contains(s, F.lit("(assert")))
 
 

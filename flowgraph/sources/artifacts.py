@@ -93,7 +93,7 @@ def _at(k: int) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def function_records(spark: SparkSession, path: str, language: str) -> DataFrame:
@@ -189,7 +189,7 @@ def library(spark: SparkSession, path: str) -> DataFrame:
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """file (below root) and text of every file."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^file:/*", "/")
     path = F.regexp_replace(F.try_url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
     return read.select(F.replace(path, base, F.lit("")).alias("file"), F.col("value").alias("text"))

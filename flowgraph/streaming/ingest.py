@@ -19,4 +19,4 @@ def append_loads(stream: DataFrame, path: str, checkpoint: str):
 
 def current(spark, path: str, keys: list[str]) -> DataFrame:
     """The last row of each key over all loads."""
-    return upsert(spark.read.parquet(path).withColumn("load_ord", F.col("load").cast("long")).drop("load"), keys)
+    return upsert(spark.read.parquet(path).withColumn("load_ord", F.col("load").cast("long")).drop("load"), keys).drop("load_ord")

@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = language_id.learn(language_id.train_split(docs))
-    return language_id.predict(docs, ranked).where(f"lang_pred <> '{language_id.UND}'").select(docs.columns)
+    return language_id.recognised(docs, ranked)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 The library cuts a text into words before it merges bytes, so a word's ids do not depend on what stands around it.
 Here texts are cut by the same rule, each distinct word is encoded by the library, and the ids of frequent words are
 kept in a bounded table. The rule is written for characters that both regex engines class alike (SURE); a text with
-any other character goes to the library whole.
+any other character, or with a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ class Encoder:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([UNSURE.pattern, *special]))
         self.newline = self._library("\n")
         self.codes, self.uses = _Codes(), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -70,7 +72,7 @@ class Encoder:
         return self.ids[np.repeat(self.ends[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _words(self, text: str) -> list[str]:
-        if UNSURE.search(text):
+        if self.odd.search(text):
             return [text]
         if len(text) <= LONG:
             return WORD.findall(text)
@@ -85,7 +87,7 @@ class Encoder:
     def _encode_new(self) -> None:
         """Words without a line break go to the library together, a line each: a line break is always a word of its own."""
         new, self.codes.pending = self.codes.pending, []
-        alone = [self._library(w) if "\n" in w or "\r" in w or UNSURE.search(w) or w.isspace() else None for w in new]
+        alone = [self._library(w) if "\n" in w or "\r" in w or self.odd.search(w) or w.isspace() else None for w in new]
         together = self._library("\n".join(w for w, ids in zip(new, alone, strict=True) if ids is None) + "\n")
         breaks = np.flatnonzero(together == self.newline[0])
         starts, stops = np.concatenate([[0], breaks[:-1] + 1]).tolist(), breaks.tolist()

@@ -68,6 +68,14 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
                 start, size = i + 1, 0
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spot(*columns: str) -> Column:
     """Where a filter looks for these columns' values."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 62) - 1))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from flowgraph.llm.common import documents, slices
 
@@ -143,17 +144,27 @@ def _predictor(ranked: dict[str, list[int]], profile: int) -> Callable[[Iterator
 
 
 def predict(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
-    """docs (a text column and any others but lang_pred and score) with lang_pred string and score double, 0 to 1.
+    """docs (a text column and any others) with lang_pred string and score double, 0 to 1, in place of columns so named.
 
     `und` with score 0 for null texts, texts without a letter, and when nothing was learned. Equal distances go to
     the first language by name. Repeated rows are predicted alike; an empty table gives no rows.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
+    docs = docs.drop("lang_pred", "score")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(_predictor(ranked, profile), schema)
 
 
+def recognised(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
+    """docs, all columns, without those that predict calls `und`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = Profiles(ranked, profile).predict
+        for batch, texts in slices(batches):
+            yield batch.filter(pa.array([predict(t)[0] != UND for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_split(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import bit_filter, checkpoint, documents, passes, slices, spot, stored
+from flowgraph.llm.common import bit_filter, checkpoint, documents, fresh, passes, slices, spot, stored
 
 WORDS = 5
 PERCENT = 80
@@ -448,14 +448,15 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest doc_id, or any one if ids repeat.
 
-    Rows without a word are all kept, as each is alone. docs may not have a column named _row.
+    Rows without a word are all kept, as each is alone.
     """
     unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
-    rows = docs.withColumn("_row", F.col("doc_id") if unique else F.monotonically_increasing_id())
+    row = fresh("_row", docs)
+    rows = docs.withColumn(row, F.col("doc_id") if unique else F.monotonically_increasing_id())
     rows = rows if unique else stored(rows, "rows")
-    found = join(rows.select(F.col("_row").alias("doc_id"), "text"), n, percent)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
+    found = join(rows.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[rows[c] for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import documents, utf8
+from flowgraph.llm.common import documents, fresh, utf8
 
 VNODES = 64
 GRID_BITS = 16
@@ -72,28 +72,28 @@ def walk(owners: list[int], counts: dict[int, int], bounds: list[int]) -> list[t
 
 
 def assign(docs: DataFrame, shards: int = 24, vnodes: int = VNODES) -> DataFrame:
-    """docs with shard int and slot long, gapless from 0 in each shard.
+    """docs with shard int and slot long, gapless from 0 in each shard, in place of columns so named.
 
     A document's place on the ring is a hash of all its columns, nulls included, so repeated ids don't gather on one
     step; wholly equal rows take their places in any order, which gives the same table. An empty table gives no rows.
-    Fewer documents than shards leave shards empty. Columns of docs may not be named _step or _rank.
+    Fewer documents than shards leave shards empty.
     """
-    spark = docs.sparkSession
+    docs = docs.drop("shard", "slot")
+    spark, columns = docs.sparkSession, [F.col(f"`{c}`") for c in docs.columns]
+    step, rank, first, last, shard, base = (fresh(c, docs) for c in ("_step", "_rank", "_first", "_last", "_shard", "_base"))
     owners = ring(shards, vnodes)
-    place = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    step = F.shiftrightunsigned(place, 64 - GRID_BITS).cast("int")
+    place = F.shiftrightunsigned(F.xxhash64(*columns), 64 - GRID_BITS).cast("int")
     #: GRID counts at most come to the driver.
-    counts = {r[0]: r[1] for r in docs.select(step.alias("_step")).groupBy("_step").agg(F.count("*")).collect()}
+    counts = {r[0]: r[1] for r in docs.select(place.alias(step)).groupBy(step).agg(F.count("*")).collect()}
     total = sum(counts.values())
     bounds = [total // shards + (s < total % shards) for s in range(shards)]
-    names = ("_step", "_first", "_last", "_shard", "_base")
-    columns = list(zip(*walk(owners, counts, bounds), strict=True)) or [()] * len(names)
-    runs = spark.createDataFrame(pa.table({n: pa.array(v, pa.int32() if n in ("_step", "_shard") else pa.int64()) for n, v in zip(names, columns, strict=True)}))
-    order = Window.partitionBy("_step").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    ranked = docs.withColumn("_step", step).withColumn("_rank", F.row_number().over(order) - 1)
+    names = (step, first, last, shard, base)
+    values = list(zip(*walk(owners, counts, bounds), strict=True)) or [()] * len(names)
+    runs = spark.createDataFrame(pa.table({n: pa.array(v, pa.int32() if n in (step, shard) else pa.int64()) for n, v in zip(names, values, strict=True)}))
+    ranked = docs.withColumn(step, place).withColumn(rank, F.row_number().over(Window.partitionBy(step).orderBy(*columns)) - 1)
     #: One run a step and one more for each of the shards that fills up: the input's size doesn't raise that bound.
-    joined = ranked.join(F.broadcast(runs), "_step").where("_rank >= _first and _rank < _last")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_shard").alias("shard"), (F.col("_base") + F.col("_rank") - F.col("_first")).alias("slot"))
+    joined = ranked.join(F.broadcast(runs), step).where((F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(last)))
+    return joined.select(*columns, F.col(shard).alias("shard"), (F.col(base) + F.col(rank) - F.col(first)).alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:

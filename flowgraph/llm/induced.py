@@ -19,23 +19,23 @@ STEP = 128
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
     """True for S; the end counts as smaller than any symbol, so the last suffix is L."""
-    n = len(text)
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[change + 1] > text[change]
-    after = np.searchsorted(change, np.arange(n))
-    return np.append(rises, False)[np.minimum(after, len(change))] & (after < len(change))
+    runs = np.diff(np.concatenate([[-1], change, [len(text) - 1]]))
+    return np.repeat(np.append(rises, False), runs)
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """The suffix array that the sorted leftmost smaller suffixes in seeds induce."""
     n = len(text)
-    ends = np.cumsum(np.bincount(text, minlength=size))
-    starts = ends - np.bincount(text, minlength=size)
+    counts = np.bincount(text, minlength=size)
+    ends = np.cumsum(counts)
+    starts = ends - counts
     larger = ~smaller
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     heads, tails = starts.copy(), ends.copy()
-    seed_symbols = text[seeds]
-    seed_at = np.searchsorted(seed_symbols, np.arange(size + 1))
+    seeds = seeds.astype(np.int32)
+    seed_at = np.searchsorted(text[seeds], np.arange(size + 1))
 
     def place(at: np.ndarray, low: bool) -> None:
         """Puts the suffixes `at`, in the order that they were found, at the heads or tails of their buckets."""
@@ -44,7 +44,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
         sorted_symbols = symbols[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_symbols[1:] != sorted_symbols[:-1]]))
         counts = np.diff(np.append(first, len(at)))
-        rank = np.arange(len(at)) - np.repeat(first, counts)
+        rank = np.arange(len(at), dtype=np.int32) - np.repeat(first.astype(np.int32), counts)
         bucket = sorted_symbols[first]
         if low:
             sa[np.repeat(heads[bucket], counts) + rank] = at[order]
@@ -57,7 +57,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
         at = run[run > 0] - 1
         return at[kind[at]]
 
-    place(np.array([n - 1]), True)
+    place(np.array([n - 1], np.int32), True)
     present = np.flatnonzero(ends > starts)
     for c in present.tolist():
         done = starts[c]
@@ -70,13 +70,11 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
             place(at, True)
     for c in present[::-1].tolist():
         done = ends[c]
-        while True:
-            while done > tails[c]:
-                run = sa[tails[c] : done][::-1].copy()
-                done = tails[c]
-                if len(at := before(run, smaller)):
-                    place(at, False)
-            break
+        while done > tails[c]:
+            run = sa[tails[c] : done][::-1].copy()
+            done = tails[c]
+            if len(at := before(run, smaller)):
+                place(at, False)
         if len(at := before(sa[starts[c] : heads[c]][::-1], smaller)):
             place(at, False)
     return sa
@@ -84,7 +82,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
 
 def _doubled(names: np.ndarray, size: int) -> np.ndarray:
     """Ranks of the suffixes of a string of names, by ranking ever longer stretches."""
-    rank, span, n = names, 1, len(names)
+    rank, span, n = names.astype(np.int64), 1, len(names)
     while size < n and span < n:
         follow = np.zeros(n, np.int64)
         follow[:-span] = rank[span:] + 1
@@ -97,9 +95,11 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Starts of the suffixes of text (symbols 0 to size - 1) in their order; the end is smaller than any symbol."""
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
+    #: Small symbols sort by radix, and everything takes half the room in 32 bits.
+    text = text.astype(np.uint16 if size <= 1 << 16 else np.int32, copy=False)
     smaller = suffix_types(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
         return _induce(text, smaller, lms, size)
     first = lms[np.argsort(text[lms], kind="stable")]
@@ -133,7 +133,7 @@ def _names(text: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
         same[open_[differ]] = False
         open_ = open_[~differ]
         k += 1
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[index] = np.concatenate([[0], np.cumsum(~same)])
     return names
 
@@ -145,25 +145,20 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     and every STEP-th place, are compared, four symbols at a time and STEP further than asked for.
     """
     n, limit = len(text), most + STEP
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    place = np.arange(n)
-    had = phi >= 0
-    derived = had.copy()
-    derived[0] = False
-    at = np.flatnonzero(derived)
-    at = at[phi[at] > 0]
-    derived[:] = False
+    derived = np.zeros(n, bool)
+    at = np.flatnonzero(phi[1:] > 0).astype(np.int32) + 1
     derived[at] = text[at - 1] == text[phi[at] - 1]
     derived[::STEP] = False
-    asked = np.flatnonzero(had & ~derived)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(limit + 16, np.uint64)])
+    open_ = np.flatnonzero((phi >= 0) & ~derived).astype(np.int32)
+    padded = np.zeros(n + limit + 16, np.uint64)
+    padded[:n] = text
+    padded[:n] += np.uint64(1)
     words = padded.copy()
-    for shift, bits in ((1, 9), (2, 18), (4, 0)):
-        if bits:
-            words = words | np.append(words[shift:], np.zeros(shift, np.uint64)) << np.uint64(bits)
-    shared = np.zeros(n, np.int64)
-    open_, k = asked, 0
+    words[:-1] |= padded[1:] << np.uint64(9)
+    words[:-2] |= words[2:] << np.uint64(18)
+    shared, k = np.zeros(n, np.int32), 0
     while len(open_) and k < limit:
         same = words[open_ + k] == words[phi[open_] + k]
         short = open_[~same]
@@ -174,6 +169,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         open_ = open_[same & (padded[open_ + k + 3] > 0)]
         k += 4
         shared[open_] = k
-    base = np.where(derived, 0, place)
+    place = np.arange(n, dtype=np.int32)
+    base = np.where(derived, 0, place).astype(np.int32)
     np.maximum.accumulate(base, out=base)
     return np.maximum(shared[base] - (place - base), 0)

@@ -41,7 +41,7 @@ BLOCK = 1 << 18
 #: Stretches in which a map task looks for copies, and bytes of a shard's suffix array.
 HELD = 100_000
 SHARD = 1 << 19
-#: Cells of anchors to each shuffle partition of the session: a task holds one cell.
+#: Cells of anchors to each shuffle partition: a task works on one after the other.
 CELLS = 4
 NULL_ID = -(1 << 63)
 
@@ -226,7 +226,7 @@ def _finder(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.RecordBatch]:
-    """Batches in which no group of neighbours with one key is cut, of `least` rows or more."""
+    """Batches of `least` rows, or as many more as it takes not to cut a group of neighbours with one key."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -234,14 +234,16 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> It
             continue
         held.append(batch)
         size += batch.num_rows
-        if size >= least:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(key).to_numpy()
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            if cut:
-                yield from table.slice(0, cut).to_batches()
-            held = table.slice(cut).to_batches()
-            size = table.num_rows - cut
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys, at = table.column(key).to_numpy(), 0
+        starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        while (k := int(np.searchsorted(starts, at + least))) < len(starts):
+            yield from table.slice(at, int(starts[k]) - at).to_batches()
+            at = int(starts[k])
+        held = table.slice(at).to_batches()
+        size = table.num_rows - at
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -266,17 +268,16 @@ def _agree(group: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is covered, and the open stretches: distinct ones that agree with another around their anchor."""
-    blobs = []
+    cells: dict[int, list[bytes]] = {}
     for batch in batches:
-        for copies, rows in zip(batch.column("copies").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+        for cell, copies, packed in zip(*(batch.column(c).to_pylist() for c in ("cell", "copies", "rows")), strict=True):
             if copies:
-                gone = _unpacked([rows])
+                gone = _unpacked([packed])
                 yield _found(gone, np.ones(len(gone["doc"]), bool))
             else:
-                blobs.append(rows)
-    if blobs:
-        rows, copy = _first_of(_unpacked(blobs))
-        blobs.clear()
+                cells.setdefault(cell, []).append(packed)
+    for cell in sorted(cells):
+        rows, copy = _first_of(_unpacked(cells.pop(cell)))
         new = rows["anchor"][1:] != rows["anchor"][:-1]
         group = np.concatenate([[0], np.cumsum(new)])
         fresh = np.flatnonzero(np.append(True, new | (rows["content"][1:] != rows["content"][:-1])))
@@ -338,17 +339,17 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray) -> Iterator[tuple[int
 
     rank orders the parts; parts of one document don't share a start.
     """
-    size = np.array([len(p) for p in parts])
-    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    text = np.zeros(int(size.sum()) + len(parts), np.int64)
-    of = np.repeat(np.arange(len(parts)), size + 1)
-    inside = np.arange(len(text)) - begin[of]
-    text[inside < size[of]] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
+    size = np.array([len(p) for p in parts], np.int32)
+    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int32)
+    of = np.repeat(np.arange(len(parts), dtype=np.int32), size + 1)
+    inside = np.arange(len(of), dtype=np.int32) - begin[of]
+    text = np.zeros(len(of), np.uint16)
+    text[inside < size[of]] = np.frombuffer(b"".join(parts), np.uint8)
+    text[inside < size[of]] += np.uint16(1)
     sa = suffix_array(text, 257)
-    room = size[of] - inside
-    shared = common_prefixes(text, sa, LENGTH)
-    equal = shared[sa] >= LENGTH
-    equal[1:] &= (room[sa[1:]] >= LENGTH) & (room[sa[:-1]] >= LENGTH)
+    equal = common_prefixes(text, sa, LENGTH)[sa] >= LENGTH
+    whole = (size[of] - inside >= LENGTH)[sa]
+    equal[1:] &= whole[1:] & whole[:-1]
     run = np.flatnonzero(~equal)
     place = rank[of[sa]] * np.int64(1 << 32) + inside[sa]
     first = np.minimum.reduceat(place, run)
@@ -426,9 +427,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     #: Where every id is its own, no tie is left to break, and a constant takes no room in the shuffle.
     tie = F.lit(0).cast("long") if unique else F.xxhash64("text")
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), tie.alias("tie"))
-    cells = CELLS * shuffle_partitions(spark)
-    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(cells), "cell int, copies boolean, rows binary")
-    found = stored(rows.repartitionById(cells, "cell").mapInArrow(_matcher, FOUND), "found")
+    parts = shuffle_partitions(spark)
+    rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(CELLS * parts), "cell int, copies boolean, rows binary")
+    found = stored(rows.repartitionById(parts, F.expr(f"cell div {CELLS}").cast("int")).mapInArrow(_matcher, FOUND), "found")
 
     texts, again = (keyed, None) if unique else _twins(keyed)
     texts = texts.withColumn("spot", spot("doc", "tie"))
@@ -439,7 +440,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     pieces = open_.select("doc", "tie", "asked", "text").mapInArrow(_cutter, PARTS)
     late = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorter, "doc long, tie long, start int, end int")
 
-    covered = stored(found.where("covered").select("doc", "tie", "start", "end").unionByName(late), "covered")
+    covered = found.where("covered").select("doc", "tie", "start", "end").unionByName(stored(late, "late"))
     touched = filtered(covered)
     runs = covered.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
     cut = texts.mapInArrow(_chosen(touched), texts.schema).join(runs, ["doc", "tie"], "left").select("doc_id", "text", "covered").mapInArrow(_closer, RESULTS)

@@ -110,3 +110,14 @@ def test_merged_runs():
     start, end = suffix_dedup.merged(np.array([5, 0, 20, 8]), np.array([9, 5, 30, 12]))
     assert (start.tolist(), end.tolist()) == ([0, 20], [12, 30])
     assert [x.tolist() for x in suffix_dedup.merged(np.zeros(0, int), np.zeros(0, int))] == [[], []]
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    keys = sorted(r.choices(range(30), k=200) + [7] * 60)
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[a : a + 37], pa.int64())}) for a in range(0, len(keys), 37)]
+    out = [b.column("k").to_pylist() for b in suffix_dedup._whole_groups(iter([batches[0].slice(0, 0), *batches]), "k", 20)]
+    assert sum(out, []) == keys and all(not set(a) & set(b) for a, b in zip(out, out[1:]))
+    assert max(map(len, out)) <= 20 + max(keys.count(k) for k in set(keys))

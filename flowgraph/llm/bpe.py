@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: The pre-tokenizer's rule, with letters as [^\W\d_], for texts in SURE.
-WORD = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+WORD = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNSURE = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-龥가-힣‐-‗‘-‧‰-⁞€]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 LONG = 500_000
@@ -37,7 +37,7 @@ class _Codes(dict):
 class Encoder:
     """encode(texts) gives all ids in a row and the number of each text's ids."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -87,14 +87,17 @@ class Encoder:
     def _encode_new(self) -> None:
         """Words without a line break go to the library together, a line each: a line break is always a word of its own."""
         new, self.codes.pending = self.codes.pending, []
-        alone = [self._library(w) if "\n" in w or "\r" in w or self.odd.search(w) or w.isspace() else None for w in new]
-        together = self._library("\n".join(w for w, ids in zip(new, alone, strict=True) if ids is None) + "\n")
+        alone = {k: self._library(w) for k, w in enumerate(new) if w.isspace() or self.odd.search(w) or "\n" in w or "\r" in w}
+        together = self._library("\n".join([w for k, w in enumerate(new) if k not in alone] if alone else new) + "\n")
         breaks = np.flatnonzero(together == self.newline[0])
-        starts, stops = np.concatenate([[0], breaks[:-1] + 1]).tolist(), breaks.tolist()
-        rest = iter(zip(starts, stops, strict=True))
-        found = [together[slice(*next(rest))] if ids is None else ids for ids in alone]
-        self.ids = np.concatenate([self.ids, *found])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found])])
+        if alone:
+            rest = iter(np.split(together, breaks + 1))
+            found = [alone[k] if k in alone else next(rest)[:-1] for k in range(len(new))]
+            flat, sizes = np.concatenate(found), np.array([len(x) for x in found])
+        else:
+            flat, sizes = np.delete(together, breaks), np.diff(breaks, prepend=-1) - 1
+        self.ids = np.concatenate([self.ids, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

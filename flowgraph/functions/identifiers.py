@@ -96,6 +96,17 @@ def escape_regex(c: Column) -> Column:
     return F.regexp_replace(c, r"([.^$*+?{}\[\]\\|()])", r"\\$1")
 
 
+def library_name(c: Column) -> Column:
+    """The full name that a request means in a library: a dotted one itself, one in an archive by its class's path.
+
+    A bare name with a source path is the application's own and gives null.
+    """
+    name, path = F.regexp_extract(c, "^([^@]*)@", 1), F.regexp_replace(F.regexp_extract(c, "^[^@]*@(.*)$", 1), ":[^:]*$", "")
+    inside = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"\.jar!/*(.*)$", 1), r"\.class$", ""), "/", ".")
+    placed = F.when(F.contains(path, F.lit(".jar!")), F.concat_ws(".", inside, name)).when(F.contains(name, F.lit(".")), name)
+    return F.when(F.contains(c, F.lit("@")), placed).otherwise(F.nullif(c, F.lit("")))
+
+
 def looks_like_class_method(c: Column) -> Column:
     """`...Class.method`: a capital before the last dot and a small letter after it, letters, digits and _ only."""
     return c.rlike(r"(?U)(^|\.)\p{Lu}[\p{L}\p{N}]*\.\p{Ll}[\p{L}\p{N}_]*$")

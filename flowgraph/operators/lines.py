@@ -76,6 +76,19 @@ def marked_body(spans: DataFrame, lines: DataFrame, checks: DataFrame, width: in
     return spans.join(joined, "key", "left")
 
 
+def class_files(identifiers: DataFrame, files: DataFrame) -> DataFrame:
+    """identifiers (`Class@path:line`) with found and text: the file at that path, else the first that has its base name.
+
+    files has file and text.
+    """
+    asked = identifiers.withColumn("_path", F.regexp_extract("identifier", "^[^@]*@([^:]*)", 1))
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    near = asked.select("_path").distinct().join(files, base(F.col("_path")) == base(F.col("file")))
+    order = F.struct(F.col("file") != F.col("_path"), F.col("file"))
+    best = near.groupBy("_path").agg(F.min_by(F.struct(F.col("file").alias("found"), "text"), order).alias("_f"))
+    return asked.join(best, "_path", "left").select(*identifiers.columns, "_f.found", "_f.text")
+
+
 def field_text(lines: DataFrame, file: str, field: str, limit: int = fixed.FIELD_LINES) -> DataFrame:
     """One row, or none: the lines from the first that holds the field as a word outside a comment, to the first `;`."""
     own = lines.where(F.col("file") == file)

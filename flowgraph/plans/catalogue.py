@@ -366,10 +366,19 @@ def flow_summary(spark, d):
     return flows.summary(flows.summarize_groups(flows.group_key(line_flows(spark, d), "sinks")))
 
 
-@query("")
+@query("select event_id as flow, min(event_id) over (partition by event_id // 100) as component from events")
 def shared_components(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_id").alias("flow"), F.concat(F.lit("u"), "user_id", F.lit("/"), F.expr("event_id div 40")).alias("source"), F.concat(F.lit("t"), "event_type", F.lit("/"), F.expr("event_id div 15")).alias("sink"))
-    return components.shared_components(e)
+    """Chains: sources are tens of events, and sinks are tens shifted by five that end with each hundred."""
+    i = F.col("event_id")
+    source, sink = F.expr("concat('a', event_id div 10)"), F.expr("concat('b', event_id div 100, '/', (event_id % 100 + 5) div 10)")
+    return components.shared_components(_t(spark, d, "events").select(i.alias("flow"), source.alias("source"), sink.alias("sink")))
+
+
+@query("with t as (select event_id, unnest(['go@src/main/A.java:3', 'a.b.C.run', 'File.name@x/y.java:4', 'name@/lib/io.jar!/org/io/File.class:0']) as request from events where event_id < 50) select event_id, request, case when not contains(request, '@') then request when contains(request, '.jar!') then 'org.io.File.name' when contains(split_part(request, '@', 1), '.') then split_part(request, '@', 1) end as fqn from t")
+def library_names(spark, d):
+    asked = F.array(*map(F.lit, ("go@src/main/A.java:3", "a.b.C.run", "File.name@x/y.java:4", "name@/lib/io.jar!/org/io/File.class:0")))
+    rows_ = _t(spark, d, "events").where("event_id < 50").select("event_id", F.explode(asked).alias("request"))
+    return rows_.withColumn("fqn", ids.library_name(F.col("request")))
 
 
 @query("with s as (select conv_id, arg_min(text, turn) as first, arg_max(text, turn) as last from conversations group by conv_id) select conv_id from s where contains(lower(first), 'the') and contains(lower(last), 'and')")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.functions import fixed
+from flowgraph.functions.identifiers import library_name
 from flowgraph.operators import callgraph, flows, lines
 from flowgraph.operators.rows import keep_first, union_all
 from flowgraph.plans.global_flows import global_flows
@@ -127,6 +128,21 @@ class Application:
         places = self._spark.createDataFrame([(identifier, at[1], int(at[2]))] if at else [], "key string, file string, line int")
         return lines.numbered_text(lines.window_of(places, text, context), ["key"])
 
+    def resolve_request(self, request: str, service: str | None = None) -> DataFrame:
+        """The source that a request means, else what the library notes say of it; at most one row, key and source."""
+        found = self.get_source(request, service, 0) if "@" in request else self._by_bare_name(request, service)
+        notes = self.tables.get("library")
+        if notes is None or not found.isEmpty():
+            return found
+        asked = self._spark.createDataFrame([(request,)], "key string").withColumn("fqn", library_name(F.col("key"))).where("fqn is not null")
+        return callgraph.library_lookup(asked, notes).where("text is not null").select("key", F.concat(F.lit("[LIBRARY] "), "text").alias("source"))
+
+    def _by_bare_name(self, request: str, service: str | None) -> DataFrame:
+        name, owner = request.rpartition(".")[2], request.rpartition(".")[0].rpartition(".")[2]
+        own = self._table("functions", service).where((F.col("name") == name) & (F.coalesce("class_name", F.lit("")) == owner))
+        spans = own.orderBy("file_path", "start_line").limit(1).select(F.col("function_id").alias("key"), F.col("file_path").alias("file"), "start_line", "end_line")
+        return lines.bodies(spans, self._table("lines", service)).select("key", "source")
+
     def get_type(self, function_id: str, service: str | None = None) -> DataFrame:
         """One row: the function's signature, or `unknown`."""
         found = self._table("functions", service).where(F.col("function_id") == function_id)

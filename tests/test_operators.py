@@ -153,3 +153,9 @@ def test_group_summary(spark):
     assert out == {"s": (2, 2, ["x", "y"]), "t": (1, 1, [])}
     keys = {x.flow_id: x.group_key for x in flows.group_key(df, "shared").collect()}
     assert keys == {"f1": "shared_group_f1_(sinks:1)", "f2": "shared_group_f1_(sinks:1)", "f3": "isolated_f3"}
+
+
+def test_class_files(spark):
+    files = spark.createDataFrame([("a/Foo.java", "1"), ("b/Foo.java", "2"), ("c/Bar.java", "3")], "file string, text string")
+    ask = spark.createDataFrame([("Foo@b/Foo.java:3",), ("Foo@z/Foo.java",), ("X@q/X.java",)], "identifier string")
+    assert {x.identifier: x.text for x in lines.class_files(ask, files).collect()} == {"Foo@b/Foo.java:3": "2", "Foo@z/Foo.java": "1", "X@q/X.java": None}

@@ -120,7 +120,7 @@ def _writer(folder: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iter
         width = 2 if max(encoder.vocab_size, END_ID + 1) <= 1 << 16 else 4
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for batch, texts in slices(batches):
+            for batch, texts in slices(batches, bpe.SLICE):
                 ids, counts = encoder.encode(texts)
                 ends = np.cumsum(counts)
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):

@@ -19,6 +19,8 @@ WORD = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 UNSURE = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-龥가-힣‐-‗‘-‧‰-⁞€]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 LONG = 500_000
+#: Characters to encode at a time; the table's upkeep costs the same for few or many.
+SLICE = 2_000_000
 
 
 class _Codes(dict):
@@ -37,7 +39,7 @@ class _Codes(dict):
 class Encoder:
     """encode(texts) gives all ids in a row and the number of each text's ids."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -77,7 +77,7 @@ def _packer(path: str, length: int, most: int) -> Callable[[Iterator[pa.RecordBa
         def emit(window: int, items: list, used: int = 0) -> None:
             out.extend((*piece, window, offset, used) for piece, offset in items)
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, bpe.SLICE):
             ids, counts = encoder.encode(texts)
             end = 0
             for doc_id, count in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):

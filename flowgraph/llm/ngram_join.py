@@ -12,15 +12,17 @@ one node stands for each class. Two nodes link when 100 * intersection >= 80 * u
 3. For shingles that still join several groups, the token-group matrix holds each group's token union. A query node
    opens a group only if their overlap reaches the bound l and a member's size fits, and in an open group it is
    compared with members that reach the bound themselves. A shingle of more than LIGHT groups is left out, and the
-   bound lowered by the number of such shingles that the node holds.
-4. Nodes for which nothing is left of the bound hold little but such shingles: many unlike variants of one text, or
+   bound lowered by the number of such shingles that the node holds. A node for which that leaves nothing is full: it
+   asks only other full nodes, with the whole bound, as those it shares a left-out shingle with are met in step 4.
+4. Full nodes hold little but such shingles: many unlike variants of one text, or
    short texts around a common passage. Those that such shingles connect are cut into blocks of BLOCK_NODES, and each
    pair of blocks is compared whole by one product of its token matrices, which returns a spanning forest of its links.
 5. Links of all rounds are joined into components.
 
 No link between different sets is lost: a pair in one group needs no further test, and a linked pair in two groups
-meets every condition of step 3, seen from one of its sides, or both its sides are in step 4. What reaches the driver is the level table,
-LEVEL_CELLS counts, and a bounded filter for the documents whose sets are read again.
+meets every condition of step 3, seen from one of its sides, or both its sides are full and share a left-out shingle,
+which step 4 compares. What reaches the driver is the level table, LEVEL_CELLS counts, and a bounded filter for the
+documents whose sets are read again.
 """
 
 from __future__ import annotations
@@ -313,28 +315,35 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _posts(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Postings of tokens that several groups hold: token, node, group, heavy, and the node's n, bound l, heavy tokens h.
 
-    full: whether h reaches the bound that the node has with its smallest partners.
+    full: whether h reaches the bound that the node has with its smallest partners. asks: whether it isn't full, or its
+    light tokens alone reach that bound; a full node that doesn't ask can't be found by another full node either.
     """
     posts = _grouped(shared.select("token", "node"), groups)
     held = posts.select("token", "group").distinct().groupBy("token").agg(F.count("*").alias("c"))
     posts = posts.join(held.where("c > 1").select("token", (F.col("c") > LIGHT).alias("heavy")), "token")
-    own = posts.groupBy("node").agg(F.count_if("heavy").alias("h")).join(sizes, "node")
-    own = own.select("node", "n", "h", _bound_of("n").alias("l"), (F.col("h") >= _bound_of(f"(n * {percent} + 99) div 100")).alias("full"))
+    least = _bound_of(f"(n * {percent} + 99) div 100")
+    own = posts.groupBy("node").agg(F.count_if("heavy").alias("h"), F.count_if(~F.col("heavy")).alias("light")).join(sizes, "node")
+    own = own.select("node", "n", "h", _bound_of("n").alias("l"), (F.col("h") >= least).alias("full"), ((F.col("h") < least) | (F.col("light") >= least)).alias("asks"))
     return checkpoint(posts.join(own, "node"))
 
 
 def _candidates(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap, seen from a node that isn't full."""
+    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap, unless both are full and share a heavy token.
+
+    A node that isn't full asks all nodes, and a full one the full ones, from which nothing is taken for heavy tokens.
+    """
     light = posts.where("not heavy")
-    asking = light.where("not full").select("token", F.col("node").alias("q"), "group", F.col("n").alias("nq"), "h", F.col("l").alias("lq"))
-    matrix = light.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"))
+    left = F.when(F.col("full"), F.lit(0)).otherwise(F.col("h"))
+    asking = light.where("asks").select("token", F.col("node").alias("q"), "group", F.col("n").alias("nq"), left.alias("h"), F.col("l").alias("lq"), F.col("full").alias("fq"))
+    met = F.col("full") & F.col("asks")
+    matrix = light.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"), F.max(met).alias("fg"))
     fits = lambda low, high: (100 * F.col(high) >= percent * F.col("nq")) & (percent * F.col(low) <= 100 * F.col("nq"))
-    asked = asking.join(matrix, "token").where((F.col("group") != F.col("g")) & fits("least", "most"))
+    asked = asking.join(matrix, "token").where((F.col("group") != F.col("g")) & fits("least", "most") & (~F.col("fq") | F.col("fg")))
     asked = asked.groupBy("q", "g", "nq", "h", "lq").agg(F.count("*").alias("light"), F.min("lg").alias("lg"))
     opened = asked.where(_reaches("lg")).select("q", "g")
 
-    theirs = light.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"))
-    pairs = asking.drop("group").join(opened, "q").join(theirs, ["token", "g"]).where(fits("nd", "nd"))
+    theirs = light.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"), met.alias("fd"))
+    pairs = asking.drop("group").join(opened, "q").join(theirs, ["token", "g"]).where(fits("nd", "nd") & (~F.col("fq") | F.col("fd")))
     pairs = pairs.groupBy("q", "d", "h", "lq", "ld").agg(F.count("*").alias("light"))
     return pairs.where(_reaches("ld")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
 

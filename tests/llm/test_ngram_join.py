@@ -133,6 +133,27 @@ def test_crowded_shingles(spark, monkeypatch):
     assert compare(spark, rows) > 50
 
 
+def test_full_nodes_that_share_only_light_shingles(spark, monkeypatch):
+    """Two linked documents with a crowded passage each, P and Q, and the rest of them in common and in short documents."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 3)
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(166)]
+    texts = [" ".join(common[i : i + 5]) for i in range(162) for _ in range(8)]
+    ends = [[f"{c}{i}" for i in range(20)] for c in "pq"]
+    for window in [end[i : i + 5] for end in ends for i in range(16)]:
+        token, more = ngram_join.text_sets([" ".join(window)])[0][0], []
+        while len(more) < 3:
+            text = " ".join([*window, f"y{r.randrange(10**9)}"])
+            if ngram_join.text_sets([text])[0][0] == token:
+                more.append(text)
+        texts += [" ".join(window), *more]
+    rows = list(enumerate([*texts, *(" ".join(common + end) for end in ends)]))
+    assert ngram_join.links(*ngram_join.text_sets([t for _, t in rows[-2:]]))
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want, _ = brute(rows)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in out), key=str) == want
+
+
 def test_forest_joins_what_links_join():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 60, 100, dtype=np.uint64)

@@ -395,10 +395,13 @@ union all select 'source:n:' || n_nationkey, 'boundary:c:' || c_custkey, 'intra_
 union all select 'boundary:c:' || c_custkey, 'sink:s:' || s_suppkey, 'inter_call' from customer join supplier on s_nationkey = c_nationkey where c_custkey % 50 = 0"""
 
 
-def world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Regions enter nations, nations flow to some customers, and customers call the suppliers of their nation."""
+_ALL_EDGES = _EDGES.replace(" where c_custkey % 50 = 0", "")
+
+
+def world(spark: SparkSession, d: str, every_customer: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Regions enter nations, nations flow to customers, each fiftieth or every one, and customers call the suppliers of their nation."""
     r, n, c, s = (_t(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
-    c = c.where("c_custkey % 50 = 0")
+    c = c if every_customer else c.where("c_custkey % 50 = 0")
 
     def side(df: DataFrame, kind: str, service: str, key: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.lit(service).alias("service"), F.col(key).cast("string").alias("ref"), F.col(key).alias("ord"))
@@ -423,8 +426,14 @@ def edges_union(spark, d):
     return world(spark, d)[1].select("src", "dst", "kind")
 
 
+@query(_ALL_EDGES)
+def all_edges_union(spark, d):
+    return world(spark, d, True)[1].select("src", "dst", "kind")
+
+
 _PATHS = """select 'sink:s:' || s_suppkey as sink, 'entry:r:' || r_regionkey || '>source:n:' || n_nationkey || '>boundary:c:' || c_custkey || '>sink:s:' || s_suppkey as path, r_regionkey, n_nationkey, c_custkey, s_suppkey
 from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey and c_custkey % 50 = 0 join supplier on s_nationkey = n_nationkey"""
+_ALL_PATHS = _PATHS.replace(" and c_custkey % 50 = 0", "")
 
 
 def _path_rows(found: DataFrame) -> DataFrame:
@@ -442,6 +451,16 @@ def capped_paths(spark, d):
     return _path_rows(graph.simple_paths(*world(spark, d), per_sink=2, total=30))
 
 
+@query(f"select sink, path, 3 as length from ({_ALL_PATHS})")
+def all_simple_paths(spark, d):
+    return _path_rows(graph.simple_paths(*world(spark, d, True), per_sink=None, total=None))
+
+
+@query(f"with p as (select *, row_number() over (partition by sink order by r_regionkey, n_nationkey, c_custkey) as r from ({_ALL_PATHS})), t as (select *, row_number() over (order by r_regionkey, n_nationkey, c_custkey, s_suppkey) as n from p where r <= 2) select sink, path, 3 as length from t where n <= 30")
+def all_capped_paths(spark, d):
+    return _path_rows(graph.simple_paths(*world(spark, d, True), per_sink=2, total=30))
+
+
 # Texts, checks and verdicts ----------------------------------------------------------------------------------------
 
 _TAGGED = """t as (select conv_id, turn, case turn % 3 when 0 then 'x <Assessment> ' || role || chr(10) || ' </assessment> <assessment>no</assessment>' when 1 then '<request>a@f.py:' || turn || '; Svc.doIt' || chr(10) || 'bad one;x.Y</request>' || '<request>pkg.Cls.go_1</request>' else text end as text from conversations)"""

@@ -111,11 +111,15 @@ _CALLS = f"""{_LINES}, {_FUNCTIONS},
 calls as (select 'g@' || file || ':' || line_no as callsite_id, case when line_no % 7 = 0 then 'gone@lib:1' else 'f0@' || file || ':1' end as target_function_id, file, line_no from lines where line_no % 3 = 0)"""
 
 
-def doc_calls(found: DataFrame) -> DataFrame:
-    """Every third line calls its file's outer function, or, each seventh, something unknown."""
+_ALL_CALLS = _CALLS.replace(" where line_no % 3 = 0", "")
+
+
+def doc_calls(found: DataFrame, every_line: bool = False) -> DataFrame:
+    """Every third line, or every one, calls its file's outer function, or, each seventh, something unknown."""
     place = F.concat_ws(":", "file", F.col("line_no").cast("string"))
     target = F.when(F.col("line_no") % 7 == 0, F.lit("gone@lib:1")).otherwise(F.concat(F.lit("f0@"), "file", F.lit(":1")))
-    return found.where("line_no % 3 = 0").select(F.concat(F.lit("g@"), place).alias("callsite_id"), target.alias("target_function_id"))
+    found = found if every_line else found.where("line_no % 3 = 0")
+    return found.select(F.concat(F.lit("g@"), place).alias("callsite_id"), target.alias("target_function_id"))
 
 
 @query(f"with {_CALLS} select f.function_id as caller_id, c.callsite_id, c.target_function_id, coalesce(t.name, regexp_extract(c.target_function_id, '^([^@]*)', 1)) as name, t.file_path as target_file, c.line_no as call_line from functions f join calls c on c.file = f.file_path and c.line_no between f.start_line and f.end_line left join functions t on t.function_id = c.target_function_id")
@@ -132,6 +136,20 @@ def callers(spark, d):
     return callgraph.callers("gone@lib:1", doc_calls(found), functions).select("function_id", "name", "file_path", "start_line", "end_line")
 
 
+@query(f"with {_ALL_CALLS} select f.function_id as caller_id, c.callsite_id, c.target_function_id, coalesce(t.name, regexp_extract(c.target_function_id, '^([^@]*)', 1)) as name, t.file_path as target_file, c.line_no as call_line from functions f join calls c on c.file = f.file_path and c.line_no between f.start_line and f.end_line left join functions t on t.function_id = c.target_function_id")
+def all_callees(spark, d):
+    found = doc_lines(spark, d)
+    functions = doc_functions(found)
+    return callgraph.callees(functions, doc_calls(found, True), functions).select("caller_id", "callsite_id", "target_function_id", "name", "target_file", "call_line")
+
+
+@query(f"with {_ALL_CALLS}, around as (select c.callsite_id, f.function_id, row_number() over (partition by c.callsite_id order by f.end_line - f.start_line, -f.start_line, f.function_id) as r from calls c join functions f on f.file_path = c.file and c.line_no between f.start_line and f.end_line where c.target_function_id = 'gone@lib:1') select function_id, name, file_path, start_line, end_line from functions where function_id in (select function_id from around where r = 1)")
+def all_callers(spark, d):
+    found = doc_lines(spark, d)
+    functions = doc_functions(found)
+    return callgraph.callers("gone@lib:1", doc_calls(found, True), functions).select("function_id", "name", "file_path", "start_line", "end_line")
+
+
 @query(f"with {_LINES}, {_FUNCTIONS} select (select count(*) from functions) as total_functions, (select count(distinct file_path) from functions) as unique_files, (select count(*) from lines) as line_mappings")
 def index_stats(spark, d):
     return callgraph.index_stats(doc_functions(doc_lines(spark, d)))
@@ -374,10 +392,22 @@ def shared_components(spark, d):
     return components.shared_components(_t(spark, d, "events").select(i.alias("flow"), source.alias("source"), sink.alias("sink")))
 
 
-@query("with t as (select event_id, unnest(['go@src/main/A.java:3', 'a.b.C.run', 'File.name@x/y.java:4', 'name@/lib/io.jar!/org/io/File.class:0']) as request from events where event_id < 50) select event_id, request, case when not contains(request, '@') then request when contains(request, '.jar!') then 'org.io.File.name' when contains(split_part(request, '@', 1), '.') then split_part(request, '@', 1) end as fqn from t")
+_LIBRARY_NAMES = "with t as (select event_id, unnest(['go@src/main/A.java:3', 'a.b.C.run', 'File.name@x/y.java:4', 'name@/lib/io.jar!/org/io/File.class:0']) as request from events where event_id < 50) select event_id, request, case when not contains(request, '@') then request when contains(request, '.jar!') then 'org.io.File.name' when contains(split_part(request, '@', 1), '.') then split_part(request, '@', 1) end as fqn from t"
+
+
+@query(_LIBRARY_NAMES)
 def library_names(spark, d):
+    return _library_names(_t(spark, d, "events").where("event_id < 50"))
+
+
+@query(_LIBRARY_NAMES.replace(" where event_id < 50", ""))
+def all_library_names(spark, d):
+    return _library_names(_t(spark, d, "events"))
+
+
+def _library_names(events: DataFrame) -> DataFrame:
     asked = F.array(*map(F.lit, ("go@src/main/A.java:3", "a.b.C.run", "File.name@x/y.java:4", "name@/lib/io.jar!/org/io/File.class:0")))
-    rows_ = _t(spark, d, "events").where("event_id < 50").select("event_id", F.explode(asked).alias("request"))
+    rows_ = events.select("event_id", F.explode(asked).alias("request"))
     return rows_.withColumn("fqn", ids.library_name(F.col("request")))
 
 
@@ -562,9 +592,20 @@ def _categories_sql() -> str:
 _VERBS, _NOUNS = ("create", "run", "get", "grant", "reset", "shutdown", "lock", "execute"), ("User", "Command", "Role", "Password", "Server", "Sql", "Widget")
 
 
-@query(f"with n as (select p_partkey, v || m || p_type as name, lower(v || m || p_type) as n from part, (select unnest({list(_VERBS)}) as v), (select unnest({list(_NOUNS)}) as m) where p_partkey < 50) select p_partkey, name, {_categories_sql()} as categories from n")
+_SINK_NAMES = f"with n as (select p_partkey, v || m || p_type as name, lower(v || m || p_type) as n from part, (select unnest({list(_VERBS)}) as v), (select unnest({list(_NOUNS)}) as m) where p_partkey < 50) select p_partkey, name, {_categories_sql()} as categories from n"
+
+
+@query(_SINK_NAMES)
 def sink_pattern_match(spark, d):
-    parts = _t(spark, d, "part").where("p_partkey < 50")
+    return _sink_names(_t(spark, d, "part").where("p_partkey < 50"))
+
+
+@query(_SINK_NAMES.replace(" where p_partkey < 50", ""))
+def all_sink_pattern_match(spark, d):
+    return _sink_names(_t(spark, d, "part"))
+
+
+def _sink_names(parts: DataFrame) -> DataFrame:
     names = parts.select("p_partkey", "p_type", F.explode(F.array(*map(F.lit, _VERBS))).alias("v")).select("p_partkey", "p_type", "v", F.explode(F.array(*map(F.lit, _NOUNS))).alias("m"))
     name = F.concat("v", "m", "p_type")
     return names.select("p_partkey", name.alias("name"), records.sink_categories(name).alias("categories"))

@@ -33,7 +33,10 @@ OTHER = len(KINDS)
 LEARN = 20_000
 SHAPES = 5_000
 SURE = 0.6
-ROUNDS = 30
+#: A safety limit for messages that swing and never settle: so many rounds, and so many more a link of the document with most.
+ROUNDS = 1000
+ROUNDS_A_LINK = 8
+SETTLED = 1e-4
 SMOOTH = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,7 +165,10 @@ class Field:
     far: list[list[float]]
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product over the graph; observed words hold their label. Rows are words, columns LABELS."""
+        """Loopy sum-product over the graph; observed words hold their label. Rows are words, columns LABELS.
+
+        A round works out only messages that still move or whose source was told something new, until none is left.
+        """
         n, k = len(g.tokens), len(LABELS)
         own = np.array([self.own.get(s, self.unseen) for s in g.shapes], float).reshape(n, k)
         held = np.flatnonzero(g.seen != OTHER)
@@ -174,19 +180,23 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         told = np.zeros((len(src), k))
-        for _ in range(ROUNDS if len(src) else 0):
-            belief = own.copy()
-            np.add.at(belief, dst, told)
-            rest = belief[src] - told[back]
-            new = np.logaddexp.reduce(rest[:, :, None] + table, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            new = 0.5 * (new + told) if _ else new
-            done = np.abs(new - told).max() < 1e-4
-            told = new
-            if done:
-                break
         belief = own.copy()
-        np.add.at(belief, dst, told)
+        moving, turn, most = np.arange(len(src)), 0, 0
+        if len(links):
+            most = ROUNDS + ROUNDS_A_LINK * int(np.bincount(np.array([t[0] for t in g.tokens])[links[:, 0]]).max())
+        while len(moving) and turn < most:
+            rest = belief[src[moving]] - told[back[moving]]
+            new = np.logaddexp.reduce(rest[:, :, None] + table[moving], axis=1)
+            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            step = 0.5 * (new - told[moving]) if turn else new
+            told[moving] += step
+            np.add.at(belief, dst[moving], step)
+            far = moving[np.abs(step).max(axis=1) >= SETTLED]
+            touched = np.zeros(n, bool)
+            touched[dst[far]] = True
+            again = touched[src]
+            again[far] = True
+            moving, turn = np.flatnonzero(again), turn + 1
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 

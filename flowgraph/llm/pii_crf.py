@@ -3,8 +3,8 @@
 Base patterns find e-mail addresses, IP addresses, card numbers and phone numbers over each whole text. The field then
 labels every word that holds a digit or an at sign (plain words can only be O), with three kinds of potentials:
 a word's own, by its shape; a link to the next such word if nothing stands between; and skip links between distant
-words of a document that repeat or resemble each other: the same digits, or the same mailbox or host. Words inside
-base spans are observed. Loopy sum-product message passing runs over all documents of a slice at once until messages
+words of a document that repeat or resemble each other: the same digits, in one word or in neighbouring ones, or the
+same mailbox or host. Words inside base spans are observed. Loopy sum-product message passing runs over all documents of a slice at once until messages
 settle; a word that then holds a kind with at least SURE becomes a span, so that a number or address that a pattern
 misses gets the label of its twin.
 
@@ -48,6 +48,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NO_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "\"'`,;:!?<>[]{}=.*"
 
 Span = tuple[int, int, int]
@@ -114,6 +115,16 @@ def keys(word: str) -> list[str]:
     return out
 
 
+def joint(run: list[tuple[int, str]]) -> tuple[str, list[int]]:
+    """The key of the last seven digits of neighbouring numbers (word, digits), and the words that hold them; "" for one word."""
+    digits, held = "", []
+    for n, own in reversed(run):
+        if len(digits) >= 7:
+            break
+        digits, held = own + digits, [n, *held]
+    return (f"d{digits[-7:]}" if len(held) > 1 and len(digits) >= 6 else ""), held
+
+
 @dataclass
 class Graph:
     """The field of a slice of documents; links are rows (word, word), tokens are (document, start, end)."""
@@ -132,9 +143,17 @@ def graph(texts: list[str], found: list[list[Span]]) -> Graph:
             continue
         cover = sorted((a, b, k) for k, a, b in spans)
         last_of: dict[str, int] = {}
+        run: list[tuple[int, str]] = []
+        joined: dict[str, int] = {}
+        tied: set[tuple[int, int]] = set()
         at, before = 0, -1
         for m in _WORD.finditer(text):
             word, (start, end) = m[0], m.span()
+            number = "@" not in word and bool(_DIGIT.search(word)) and not _LETTER.search(word)
+            if run and not number:
+                far += sorted(tied)
+                last_of |= joined
+                run, joined, tied = [], {}, set()
             if "@" not in word and not _DIGIT.search(word):
                 before = -1
                 continue
@@ -151,6 +170,13 @@ def graph(texts: list[str], found: list[list[Span]]) -> Graph:
                 if key in last_of:
                     far.append((last_of[key], n))
                 last_of[key] = n
+            if number:
+                run = [*run[-6:], (n, _NO_DIGIT.sub("", word))]
+                key, held = joint(run)
+                if key:
+                    tied |= {(last_of[key], w) for w in held if last_of.get(key, w) < held[0]}
+                    joined[key] = n
+        far += sorted(tied)
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Graph(tokens, shapes, np.array(seen, np.int64), pairs(near), pairs(far))
 

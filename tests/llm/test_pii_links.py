@@ -12,3 +12,22 @@ def test_messages_reach_the_end_of_a_long_chain():
     text = " x ".join(["4111111111111111", *["1111111"] * 200])
     ((base, spans),) = pii_crf.find([text], pii_crf.Field(own, [0.0] * 5, NONE, EQUAL))
     assert len(base) == 1 and len(spans) == 201 and {k for k, *_ in spans} == {2}
+
+
+def test_grouped_numbers_link_to_their_twins():
+    """A phone number in groups, and a card in groups of four over two lines, after their whole twins."""
+    own = {pii_crf.shape(w): [-3.0] * 4 + [-0.2] for w in ("555", "7713", "(017)")}
+    field = pii_crf.Field(own, [-5.0] * 4 + [-0.03], NONE, EQUAL)
+    words = " plain words " * 30
+    for first, kind, twin, held in (("+1 (017) 555-7713", 3, "017 555 7713", ["555", "7713"]), ("4539 1488 0343 6467", 2, "4539 1488 \n x 0343 6467", ["0343", "6467"]), ("4539148803436467", 2, "4539-\n1488 -0343\n6467", ["-0343", "6467"])):
+        text = first + words + twin + words
+        ((base, spans),) = pii_crf.find([text], field)
+        assert len(base) == 1
+        found = [(k, text[a:b]) for k, a, b in spans if (k, a, b) not in base]
+        assert [(kind, w) for w in held] == found[-2:], (first, found)
+    assert pii_crf.find(["+1 (017) 555-7713" + words + "017 555 7714"], field)[0][1] == [(3, 0, 17)]
+
+
+def test_repeated_groups_link_to_the_run_before():
+    g = pii_crf.graph(["1111 1111 1111 1111 x 1111 1111 1111 1111"], [[]])
+    assert g.skips.tolist() == [[3, 4], [3, 5], [3, 6], [3, 7]]

@@ -261,19 +261,28 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, most: int = LEARN, shapes: int = SHAPES) -> Field:
-    """Trains the field on about `most` rows of docs (doc_id, text); at most `shapes` shape counts come to the driver."""
+    """Trains the field on about `most` rows of docs (doc_id, text).
+
+    All counts of links come to the driver, and those of at most `shapes` shapes, each with all of its labels: shapes
+    that were seen with a kind before others, then the frequent ones.
+    """
     share = min(1.0, most / max(1, docs.select("doc_id").count()))
     chance = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.where(chance < share).select("text").mapInArrow(_counter, "factor string, value string, a long, b long, n long")
-    counts = rows.groupBy("factor", "value", "a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "factor", "value", "a", "b").limit(shapes).collect()
+    counts = rows.groupBy("factor", "value", "a", "b").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("factor", "value").agg(F.collect_list(F.struct("a", "b", "n")).alias("labels"), F.sum("n").alias("n"), F.max((F.col("a") != OTHER).cast("int")).alias("kind"))
+    counts = counts.withColumn("kind", F.when(F.col("factor") == "own", F.col("kind")).otherwise(2))
+    counts = counts.orderBy(F.desc("kind"), F.desc("n"), "factor", "value").limit(shapes + 2).collect()
     k = len(LABELS)
     own: dict[str, np.ndarray] = {}
     tables = {"near": np.zeros((k, k)), "far": np.zeros((k, k))}
-    for factor, value, a, b, n in counts:
-        if factor == "own":
-            own.setdefault(value, np.zeros(k))[a] += n
-        else:
-            tables[factor][a, b] += n
+    links = [r for r in counts if r.factor != "own"]
+    for r in links + [r for r in counts if r.factor == "own"][:shapes]:
+        for a, b, n in r.labels:
+            if r.factor == "own":
+                own.setdefault(r.value, np.zeros(k))[a] += n
+            else:
+                tables[r.factor][a, b] += n
     prior = np.where(np.arange(k) == OTHER, 0.9, 0.1 / (k - 1))
 
     def logs(x: np.ndarray) -> list[float]:

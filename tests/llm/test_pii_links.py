@@ -31,3 +31,12 @@ def test_grouped_numbers_link_to_their_twins():
 def test_repeated_groups_link_to_the_run_before():
     g = pii_crf.graph(["1111 1111 1111 1111 x 1111 1111 1111 1111"], [[]])
     assert g.skips.tolist() == [[3, 4], [3, 5], [3, 6], [3, 7]]
+
+
+def test_learn_keeps_links_and_all_labels_of_a_shape(spark):
+    """With room for one shape, seen mostly as no kind, its card label and the labels of links are kept."""
+    texts = ["12 x 345 x " * 40, "mail a@b.cd now", "4111111111111111 x 4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    field, whole = pii_crf.learn(docs, shapes=1), pii_crf.learn(docs)
+    assert (field.near, field.far) == (whole.near, whole.far)
+    assert len(field.own) == 1 < len(whole.own) and all(v == whole.own[s] and v[2] > v[0] for s, v in field.own.items())

@@ -155,12 +155,12 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFIL
 
 
 def recognised(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
-    """docs, all columns, without those that predict calls `und`."""
+    """docs, all columns, without those that predict calls `und` or, as no profile has any of their n-grams, scores 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Profiles(ranked, profile).predict
         for batch, texts in slices(batches):
-            yield batch.filter(pa.array([predict(t)[0] != UND for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([predict(t)[1] > 0 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,6 +4,7 @@ A test item may differ from a passage in a document by a budget of k edits, ERRO
 pieces, at least one piece must stand in the passage unchanged. All pieces of all items go into one automaton that
 finds their exact hits in one run over a document; around each hit the item is verified by Myers' bit-parallel
 distance, with both ends of the passage free. Texts are compared in lower case with runs of blanks as one blank.
+Items under MIN_CHARS are held only unchanged and as whole words.
 
 Items are taken in blocks of BLOCK_CHARS characters: a block's automaton is what each worker holds, however large
 the benchmark is.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowgraph.llm.common import documents, read, slices
 
 ERROR_RATE = 0.05
-#: Shorter items match by chance and are never reported.
+#: Shorter items have no budget: a few edits, or a part of a word, match by chance.
 MIN_CHARS = 32
 BLOCK_CHARS = 2_000_000
 HITS = "doc_id long, item_id long, edits int, item_chars int, start long"
@@ -41,11 +42,18 @@ def pieces(text: str, k: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether the passage neither begins nor ends inside a run of letters and digits."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Pattern:
     """An item, its budget and its bit masks by character."""
 
     def __init__(self, item_id: int, text: str, rate: float) -> None:
-        self.item_id, self.text, self.k = item_id, text, budget(len(text), rate)
+        self.item_id, self.text, self.short = item_id, text, len(text) < MIN_CHARS
+        self.k = 0 if self.short else budget(len(text), rate)
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -103,8 +111,10 @@ class Matcher:
     def _verify(p: Pattern, text: str, places: list[int]) -> tuple[int, int] | None:
         m, best = len(p.text), None
         for s in places:
-            if s >= 0 and text.startswith(p.text, s):
+            if s >= 0 and text.startswith(p.text, s) and (not p.short or whole(text, s, s + m)):
                 return 0, s
+        if p.short:
+            return None
         spans: list[list[int]] = []
         for s in places:
             a, b = max(0, s - p.k), min(len(text), s + m + p.k)
@@ -131,7 +141,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tup
     size = 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         text = normal(text)
-        if len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and size + len(text) > limit:
             yield tuple(block)
@@ -166,7 +176,7 @@ def _dropper(items, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, edits, item_chars, start in the normalised text.
 
-    Null and empty texts hold nothing; items under MIN_CHARS characters are never held; equal items are reported
+    Null and empty texts hold nothing; items under MIN_CHARS characters are held as whole words without edits; equal items are reported
     each; repeated documents each get their rows; the start is that of the best passage, the first of equals, exact
     for edits = 0 and else at most `edits` characters off. Empty tables give no rows; other columns are ignored.
     """

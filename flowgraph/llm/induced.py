@@ -81,13 +81,23 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
 
 
 def _doubled(names: np.ndarray, size: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names, by ranking ever longer stretches."""
-    rank, span, n = names.astype(np.int64), 1, len(names)
-    while size < n and span < n:
-        follow = np.zeros(n, np.int64)
-        follow[:-span] = rank[span:] + 1
-        found, rank = np.unique(rank * np.int64(n + 1) + follow, return_inverse=True)
-        size, span = len(found), 2 * span
+    """Ranks of the suffixes of a string of names, by ranking ever longer stretches of those that are still tied."""
+    n, span = len(names), 1
+    counts = np.bincount(names, minlength=size)
+    rank = (np.cumsum(counts) - counts)[names]
+    tied = np.flatnonzero(counts[names] > 1)
+    while len(tied):
+        follow = np.where(tied + span < n, rank[np.minimum(tied + span, n - 1)] + 1, 0)
+        order = np.argsort(rank[tied] * np.int64(n + 1) + follow)
+        tied, follow = tied[order], follow[order]
+        old = rank[tied]
+        group = np.append(True, old[1:] != old[:-1])
+        part = group | np.append(True, follow[1:] != follow[:-1])
+        place = np.arange(len(tied))
+        first = np.maximum.accumulate(np.where(part, place, 0))
+        rank[tied] = old + first - np.maximum.accumulate(np.where(group, place, 0))
+        alone = part & np.append(part[1:], True)
+        tied, span = tied[~alone], 2 * span
     return rank
 
 

@@ -5,17 +5,18 @@ strings have to meet in one shard, though a corpus of them fits nowhere. So:
 
 1. Each LENGTH-byte window has an anchor, the least of the hashes of its GRAM-byte strings. It depends on the window
    alone, so equal windows have equal anchors. Windows with one anchor are neighbours: a stretch of starts.
-2. Stretches are shuffled by anchor, as hashes. An anchor with one stretch holds no repeat. Of equal stretches under
-   an anchor all but the first are covered whole; a map task drops its own copies before the shuffle, so a passage
-   that a third of all documents share reaches a shard once per task.
-3. What differs under a shared anchor may still share windows. An equal window agrees on half of its other bytes to
-   the left or to the right of the anchor, so only stretches that agree with another there are open. Their bytes go to
-   shards by anchor. A shard builds its suffix array by induced sorting and its permuted common prefixes (induced.py);
-   runs of suffixes that share LENGTH bytes are equal windows, and all but the earliest are covered.
+2. Stretches are shuffled by anchor, as hashes, which tell who has a partner: an equal stretch, or one that agrees
+   around the anchor (an equal window agrees on half of its other bytes to its left or to its right). The others hold
+   no repeat. A map task that holds more than KEEP copies of a stretch reports the rest as covered itself, after it has
+   compared their bytes with the first, so that a passage that a third of all documents share doesn't flood a shard.
+3. The bytes of stretches with partners go to shards by anchor. A shard builds its suffix array by induced sorting and
+   its permuted common prefixes (induced.py); runs of suffixes that share LENGTH bytes are equal windows, and all but
+   the earliest are covered. Hashes only choose what a shard reads; bytes decide.
 4. Each document cuts out the union of what is covered.
 
-For steps 3 and 4 only documents with something open or covered are shuffled, by way of bounded filters. The shard of an anchor holds that anchor's distinct surroundings; no other group
-is gathered in one task.
+For steps 3 and 4 only documents with a partnered or covered stretch are shuffled, by way of bounded filters. The shard
+of an anchor holds that anchor's surroundings, of equal ones at most KEEP + 1 a flush of a map task; no other group is
+gathered in one task.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ GRAM = 24
 MARKS = 4
 SHIFT = (LENGTH - GRAM) // MARKS
 BLOCK = 1 << 18
-#: Stretches in which a map task looks for copies, and bytes of a shard's suffix array.
+#: Stretches in which a map task looks for copies, how many copies of one it lets through, and bytes of a suffix array.
 HELD = 100_000
+KEEP = 2
 SHARD = 1 << 19
 #: Cells of anchors to each shuffle partition: a task works on one after the other.
 CELLS = 4
@@ -98,7 +100,8 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none
     hashes = _gram_hashes(data)
-    bits = _U(len(hashes).bit_length())
+    #: The same bits for every block, so that a window's anchor never depends on what stands beside it.
+    bits = _U(max(BLOCK, len(hashes)).bit_length())
     order = (hashes >> bits << bits) | np.arange(len(hashes), dtype=_U)
     spot = (_least(order, LENGTH - GRAM + 1) & ((_U(1) << bits) - _U(1))).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
@@ -179,26 +182,50 @@ def _unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return dict(zip(FIELDS, (numbers[0].view(_U), numbers[1].view(_U), *numbers[2:4], start, start + (numbers[4] & 255), numbers[5]), strict=True))
 
 
-def _first_of(columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The rows in the order of anchor, content and place, and which of them repeat an earlier place's content."""
+def _ordered(columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The rows in the order of anchor, content and place, each place once: equal rows of the table are one document here."""
     order = np.lexsort([columns[c] for c in ("start", "tie", "doc", "content", "anchor")])
     rows = {k: v[order] for k, v in columns.items()}
-    same = lambda *names: np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in names])
-    copy = np.append(False, same("anchor", "content"))[: len(order)]
-    #: Equal rows of the table are one document here.
-    twin = np.append(False, same("anchor", "content", "doc", "tie", "start"))[: len(order)]
-    head = np.flatnonzero(~copy)
-    first = np.repeat(head, np.diff(np.append(head, len(order))))
-    as_first = np.logical_and.reduce([rows[c] == rows[c][first] for c in ("doc", "tie", "start")]) if len(order) else copy
-    return {k: v[~twin] for k, v in rows.items()}, (copy & ~as_first)[~twin]
-
-
-def _finder(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (cell, copies, rows): stretches by cell of their anchor, and in any cell those that a task knows as copies."""
-
-    def flush(held: list[dict[str, np.ndarray]], salt: int) -> pa.RecordBatch:
-        rows, copy = _first_of({c: np.concatenate([h[c] for h in held]) for c in FIELDS})
-        kept, gone = ({c: v[x] for c, v in rows.items()} for x in (~copy, copy))
+    return {k: v[_heads(rows, "anchor", "content", "doc", "tie", "start")] for k, v in rows.items()}
+
+
+def _heads(rows: dict[str, np.ndarray], *names: str) -> np.ndarray:
+    """Which rows differ from the one before in these columns."""
+    differ = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in names])
+    return np.append(True, differ)[: len(rows[names[0]])]
+
+
+def _same_bytes(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at one and two agree over size, at least 8, eight at a time."""
+    words = np.zeros(max(0, len(data) - 7), _U)
+    for k in range(8):
+        words |= data[k : len(data) - 7 + k].astype(_U) << _U(8 * k)
+    open_ = np.arange(len(one))
+    same = np.ones(len(one), bool)
+    k = 0
+    while len(open_):
+        at = np.minimum(k, size[open_] - 8)
+        good = words[one[open_] + at] == words[two[open_] + at]
+        same[open_[~good]] = False
+        k += 8
+        open_ = open_[good & (size[open_] > k)]
+    return same
+
+
+def _finder(cells: int, keep: int = KEEP) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cell, copies, rows): stretches by cell of their anchor, and in any cell those that a task knows as covered."""
+
+    def flush(held: list[dict[str, np.ndarray]], blocks: list[np.ndarray], salt: int) -> pa.RecordBatch:
+        rows = _ordered({c: np.concatenate([h[c] for h in held]) for c in (*FIELDS, "at")})
+        data = np.concatenate(blocks)
+        head = np.flatnonzero(_heads(rows, "anchor", "content"))
+        first = np.repeat(head, np.diff(np.append(head, len(rows["doc"]))))
+        copy = np.arange(len(first)) - first > keep
+        more, size = np.flatnonzero(copy), rows["end"] - rows["start"]
+        same = size[more] == size[first[more]]
+        same[same] = _same_bytes(data, rows["at"][more[same]], rows["at"][first[more[same]]], size[more[same]])
+        copy[more[~same]] = False
+        kept, gone = ({c: rows[c][x] for c in FIELDS} for x in (~copy, copy))
         cell = ((kept["anchor"] >> _U(32)) * _U(cells) >> _U(32)).astype(np.int64)
         at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)]).tolist()
         out = [(int(cell[a]), False, _packed({c: v[a:b] for c, v in kept.items()})) for a, b in zip(at, [*at[1:], len(cell)], strict=True)]
@@ -208,19 +235,22 @@ def _finder(cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
-        n, salt = 0, TaskContext.get().partitionId() * 31
+        blocks: list[np.ndarray] = []
+        n, size, salt = 0, 0, TaskContext.get().partitionId() * 31
         for batch, texts in slices(batches):
             doc, tie = (np.array(batch.column(c)) for c in ("doc", "tie"))
             for data, ends, number, base in _text_blocks([t.encode("utf-8", "surrogatepass") for t in texts]):
                 anchor, content, part, start, end, marks = stretches(data, ends)
                 if len(anchor):
-                    held.append(dict(zip(FIELDS, (anchor, content, doc[number[part]], tie[number[part]], start + base[part], end + base[part], marks), strict=True)))
-                    n += len(anchor)
+                    at = size + np.append(0, ends)[part] + start
+                    held.append(dict(zip((*FIELDS, "at"), (anchor, content, doc[number[part]], tie[number[part]], start + base[part], end + base[part], marks, at), strict=True)))
+                    blocks.append(data)
+                    n, size = n + len(anchor), size + len(data)
             if n >= HELD:
-                yield flush(held, salt)
-                held, n, salt = [], 0, salt + 1
+                yield flush(held, blocks, salt)
+                held, blocks, n, size, salt = [], [], 0, 0, salt + 1
         if held:
-            yield flush(held, salt)
+            yield flush(held, blocks, salt)
 
     return run
 
@@ -267,23 +297,34 @@ def _agree(group: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is covered, and the open stretches: distinct ones that agree with another around their anchor."""
-    cells: dict[int, list[bytes]] = {}
+    """What is covered, and the stretches with partners: those equal to another or agreeing with one around their anchor.
+
+    Rows come in the order of their cell; a cell is worked out at a time.
+    """
+
+    def partnered(blobs: list[bytes]) -> pa.RecordBatch:
+        rows = _ordered(_unpacked(blobs))
+        group = np.cumsum(_heads(rows, "anchor"))
+        fresh = np.flatnonzero(_heads(rows, "anchor", "content"))
+        copies = np.diff(np.append(fresh, len(group)))
+        keep = np.repeat((copies > 1) | _agree(group[fresh], rows["marks"][fresh]), copies)
+        return _found({c: v[keep] for c, v in rows.items()}, np.zeros(int(keep.sum()), bool))
+
+    held: list[bytes] = []
+    now = None
     for batch in batches:
-        for cell, copies, packed in zip(*(batch.column(c).to_pylist() for c in ("cell", "copies", "rows")), strict=True):
-            if copies:
-                gone = _unpacked([packed])
+        for cell, copies, packed in zip(*(batch.column(c) for c in ("cell", "copies", "rows")), strict=True):
+            if copies.as_py():
+                gone = _unpacked([packed.as_py()])
                 yield _found(gone, np.ones(len(gone["doc"]), bool))
-            else:
-                cells.setdefault(cell, []).append(packed)
-    for cell in sorted(cells):
-        rows, copy = _first_of(_unpacked(cells.pop(cell)))
-        new = rows["anchor"][1:] != rows["anchor"][:-1]
-        group = np.concatenate([[0], np.cumsum(new)])
-        fresh = np.flatnonzero(np.append(True, new | (rows["content"][1:] != rows["content"][:-1])))
-        keep = copy.copy()
-        keep[fresh] |= _agree(group[fresh], rows["marks"][fresh])
-        yield _found({c: v[keep] for c, v in rows.items()}, copy[keep])
+                continue
+            if held and cell.as_py() != now:
+                yield partnered(held)
+                held = []
+            now = cell.as_py()
+            held.append(packed.as_py())
+    if held:
+        yield partnered(held)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +365,7 @@ _PARTS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int6
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the open stretches."""
+    """The bytes of the stretches with partners."""
     for batch, texts in slices(batches):
         rows = []
         for doc, tie, asked, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "asked")), texts, strict=True):
@@ -429,7 +470,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), tie.alias("tie"))
     parts = shuffle_partitions(spark)
     rows = keyed.select("doc", "tie", "text").mapInArrow(_finder(CELLS * parts), "cell int, copies boolean, rows binary")
-    found = stored(rows.repartitionById(parts, F.expr(f"cell div {CELLS}").cast("int")).mapInArrow(_matcher, FOUND), "found")
+    found = stored(rows.repartitionById(parts, F.expr(f"cell div {CELLS}").cast("int")).sortWithinPartitions("cell").mapInArrow(_matcher, FOUND), "found")
 
     texts, again = (keyed, None) if unique else _twins(keyed)
     texts = texts.withColumn("spot", spot("doc", "tie"))

@@ -7,21 +7,24 @@ one node stands for each class. Two nodes link when 100 * intersection >= 80 * u
    within a level the hash decides. Any order gives the same result; this one keeps passages that many documents
    share out of the way. Of their first n - ceil(0.8 n) + l shingles, l = n // 10 + 1, linked nodes share l or more:
    these, by shingle, are the postings.
-2. Nodes are compared with the least node of a shingle if they share l / 2 shingles with it; this is linear in the
-   postings. What links there is joined into groups of similar documents, so thousands of near copies are one group.
-3. For shingles that still join several groups, the token-group matrix holds each group's token union. A query node
-   opens a group only if their overlap reaches the bound l and a member's size fits, and in an open group it is
-   compared with members that reach the bound themselves. A shingle of more than LIGHT groups is left out, and the
+2. Similar nodes are put into groups: a node goes to the node, of those that come first under one of its shingles, with
+   which it shares most of them, if these are half the bound l or more and the sizes fit; a node that others go to leads
+   a group of its own.
+3. The token-group matrix holds each group's token union. A query node opens a group, its own included, only if their
+   overlap reaches the bound l and a member's size fits. An opened group is compared by its lead first, which is linear
+   in the groups opened; what links there is joined, so that thousands of near copies become one group.
+4. The matrix is built anew over the joined groups, and a query node is compared with all members of a group it opens
+   that reach the bound themselves. A shingle of more than LIGHT groups is left out, and the
    bound lowered by the number of such shingles that the node holds. A node for which that leaves nothing is full: it
-   asks only other full nodes, with the whole bound, as those it shares a left-out shingle with are met in step 4.
-4. Full nodes hold little but such shingles: many unlike variants of one text, or
+   asks only other full nodes, with the whole bound, as those it shares a left-out shingle with are met in step 5.
+5. Full nodes hold little but such shingles: many unlike variants of one text, or
    short texts around a common passage. Those that such shingles connect are cut into blocks of BLOCK_NODES, and each
    pair of blocks is compared whole by one product of its token matrices, which returns a spanning forest of its links.
-5. Links of all rounds are joined into components.
+6. Links of all rounds are joined into components.
 
-No link between different sets is lost: a pair in one group needs no further test, and a linked pair in two groups
-meets every condition of step 3, seen from one of its sides, or both its sides are full and share a left-out shingle,
-which step 4 compares. What reaches the driver is the level table, LEVEL_CELLS counts, and a bounded filter for the
+No link between different sets is lost: a pair in one joined group needs no further test, and a linked pair in two groups
+meets every condition of step 4, seen from one of its sides, or both its sides are full and share a left-out shingle,
+which step 5 compares. What reaches the driver is the level table, LEVEL_CELLS counts, and a bounded filter for the
 documents whose sets are read again.
 """
 
@@ -45,7 +48,7 @@ LEVEL_CELLS = 1 << 19
 CHUNK = 1 << 14
 LIGHT = 32
 BLOCK_NODES = 512
-LOCAL_EDGES = 1 << 20
+LOCAL_EDGES = 1 << 17
 BLOCK = 4 << 20
 
 _U = np.uint64
@@ -244,7 +247,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int) -> D
     wanted = checkpoint(nodes.distinct().join(classes, "node").select("node", "d1", "d2", spot("first_id").alias("spot")))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, wanted.count()))
     again = docs.select(spot("doc_id").alias("spot"), "text").mapInArrow(_resetter(n, bits), "d1 long, d2 long, tokens binary")
-    return stored(again.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "tokens"), "tokens")
+    return stored(again.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("node", "tokens"), "tokens")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -312,38 +315,63 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(to, F.col("node") == F.col("_n"), "left").withColumn("group", F.coalesce("_r", "node")).drop("_n", "_r")
 
 
-def _posts(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Postings of tokens that several groups hold: token, node, group, heavy, and the node's n, bound l, heavy tokens h.
+def _groups(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the nodes that go to another node's group, which leads it."""
+    stars = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"))
+    theirs = sizes.select(F.col("node").alias("center"), F.col("n").alias("size"))
+    near = stars.join(sizes, "node").where(2 * F.col("c") >= _bound_of("n")).join(theirs, "center")
+    near = near.where((100 * F.col("n") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("n")))
+    best = checkpoint(near.groupBy("node").agg(F.max_by("center", F.struct("c", -F.col("center"))).alias("root")))
+    return best.join(best.select(F.col("root").alias("node")), "node", "left_anti")
+
+
+def _posts(shared: DataFrame, sizes: DataFrame, groups: DataFrame, percent: int, several: bool) -> DataFrame:
+    """Postings of tokens, or of those that several groups hold: token, node, group, heavy, and the node's n, bound l, heavy tokens h.
 
     full: whether h reaches the bound that the node has with its smallest partners. asks: whether it isn't full, or its
     light tokens alone reach that bound; a full node that doesn't ask can't be found by another full node either.
     """
     posts = _grouped(shared.select("token", "node"), groups)
     held = posts.select("token", "group").distinct().groupBy("token").agg(F.count("*").alias("c"))
-    posts = posts.join(held.where("c > 1").select("token", (F.col("c") > LIGHT).alias("heavy")), "token")
+    posts = posts.join((held.where("c > 1") if several else held).select("token", (F.col("c") > LIGHT).alias("heavy")), "token")
     least = _bound_of(f"(n * {percent} + 99) div 100")
     own = posts.groupBy("node").agg(F.count_if("heavy").alias("h"), F.count_if(~F.col("heavy")).alias("light")).join(sizes, "node")
     own = own.select("node", "n", "h", _bound_of("n").alias("l"), (F.col("h") >= least).alias("full"), ((F.col("h") < least) | (F.col("light") >= least)).alias("asks"))
-    return checkpoint(posts.join(own, "node"))
+    return stored(posts.join(own, "node"), "posts")
 
 
-def _candidates(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different groups that reach the bound on their overlap, unless both are full and share a heavy token.
+def _asking(posts: DataFrame) -> DataFrame:
+    left = F.when(F.col("full"), F.lit(0)).otherwise(F.col("h"))
+    return posts.where("not heavy and asks").select("token", F.col("node").alias("q"), "group", F.col("n").alias("nq"), left.alias("h"), F.col("l").alias("lq"), F.col("full").alias("fq"))
+
+
+def _fits(low: str, high: str, percent: int):
+    return (100 * F.col(high) >= percent * F.col("nq")) & (percent * F.col(low) <= 100 * F.col("nq"))
+
 
-    A node that isn't full asks all nodes, and a full one the full ones, from which nothing is taken for heavy tokens.
+def _opened(posts: DataFrame, percent: int) -> DataFrame:
+    """(q, g): the groups that a node opens, by its overlap with their token unions, its own tokens apart.
+
+    A node that isn't full asks all groups, and a full one the full ones, from which nothing is taken for heavy tokens.
     """
-    light = posts.where("not heavy")
-    left = F.when(F.col("full"), F.lit(0)).otherwise(F.col("h"))
-    asking = light.where("asks").select("token", F.col("node").alias("q"), "group", F.col("n").alias("nq"), left.alias("h"), F.col("l").alias("lq"), F.col("full").alias("fq"))
-    met = F.col("full") & F.col("asks")
-    matrix = light.groupBy("token", F.col("group").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"), F.max(met).alias("fg"))
-    fits = lambda low, high: (100 * F.col(high) >= percent * F.col("nq")) & (percent * F.col(low) <= 100 * F.col("nq"))
-    asked = asking.join(matrix, "token").where((F.col("group") != F.col("g")) & fits("least", "most") & (~F.col("fq") | F.col("fg")))
+    matrix = posts.where("not heavy").groupBy("token", F.col("group").alias("g")).agg(
+        F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("l").alias("lg"), F.max(F.col("full") & F.col("asks")).alias("fg"),
+    )
+    others = (F.col("group") != F.col("g")) | (F.col("members") > 1)
+    asked = _asking(posts).join(matrix, "token").where(others & _fits("least", "most", percent) & (~F.col("fq") | F.col("fg")))
     asked = asked.groupBy("q", "g", "nq", "h", "lq").agg(F.count("*").alias("light"), F.min("lg").alias("lg"))
-    opened = asked.where(_reaches("lg")).select("q", "g")
+    return asked.where(_reaches("lg")).select("q", "g")
+
 
-    theirs = light.select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"), met.alias("fd"))
-    pairs = asking.drop("group").join(opened, "q").join(theirs, ["token", "g"]).where(fits("nd", "nd") & (~F.col("fq") | F.col("fd")))
+def _leads(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node and the lead of a group that it opens."""
+    return _opened(posts, percent).where("q <> g").select(F.least("q", "g").alias("a"), F.greatest("q", "g").alias("b")).distinct()
+
+
+def _candidates(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different groups, opened by one of them, that reach the bound on their overlap, unless both are full and share a heavy token."""
+    theirs = posts.where("not heavy").select("token", F.col("node").alias("d"), F.col("group").alias("g"), F.col("n").alias("nd"), F.col("l").alias("ld"), (F.col("full") & F.col("asks")).alias("fd"))
+    pairs = _asking(posts).join(_opened(posts, percent), "q").where(F.col("group") != F.col("g")).drop("group").join(theirs, ["token", "g"]).where(_fits("nd", "nd", percent) & (~F.col("fq") | F.col("fd")))
     pairs = pairs.groupBy("q", "d", "h", "lq", "ld").agg(F.count("*").alias("light"))
     return pairs.where(_reaches("ld")).select(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).distinct()
 
@@ -431,12 +459,11 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     shared = stored(posts.mapInArrow(_stars, "token long, node long, center long"), "shared")
 
     sizes = full.select(F.col("row").alias("node"), "n")
-    stars = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("c")).join(sizes, "node")
-    stars = checkpoint(stars.where(2 * F.col("c") >= _bound_of("n")).select(F.col("node").alias("a"), F.col("center").alias("b")))
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    edges = checkpoint(verified(stars, _sets_of(docs, both(stars), classes, n), percent))
+    leads = checkpoint(_leads(_posts(shared, sizes, _groups(shared, sizes, percent), percent, several=False), percent))
+    edges = checkpoint(verified(leads, _sets_of(docs, both(leads), classes, n), percent))
     groups = components(edges)
-    posts = _posts(shared, sizes, groups, percent)
+    posts = _posts(shared, sizes, groups, percent, several=True)
     pairs = checkpoint(_candidates(posts, percent))
     crowd = posts.where("full and heavy")
     hubs = crowd.groupBy("token").agg(F.min("node").alias("b"))

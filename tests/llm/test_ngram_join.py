@@ -163,3 +163,30 @@ def test_forest_joins_what_links_join():
     assert set(forest) <= set(links)
     part = lambda edges: len(ngram_join._forest(60, np.array([a for a, _ in edges]), np.array([b for _, b in edges])))
     assert part(links) == part(forest) == len(forest) > 5
+
+
+def test_links_come_from_opened_groups(spark, monkeypatch):
+    """Families of edited copies: the links that join them are found in groups that the matrix opens, not in blocks."""
+    r = random.Random(3)
+    rows = []
+    for family in range(30):
+        text = [f"f{family}w{i}" for i in range(r.randint(40, 120))]
+        for _ in range(r.choice([1, 2, 6])):
+            own = list(text)
+            own[r.randrange(len(own))] = "edit"
+            rows.append((len(rows), " ".join(own), "en", "s"))
+    found = {"opened": 0, "blocks": 0}
+
+    def counted(name, plain):
+        def run(*args):
+            out = ngram_join.checkpoint(plain(*args))
+            found[name] += out.count()
+            return out
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "verified", counted("opened", ngram_join.verified))
+    monkeypatch.setattr(ngram_join, "_full_links", counted("blocks", ngram_join._full_links))
+    joined = len(rows) - len({c for _, _, c in brute(rows)[0]})
+    assert compare(spark, rows) >= joined > 30
+    assert found["opened"] >= joined and found["blocks"] == 0

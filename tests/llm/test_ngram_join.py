@@ -170,10 +170,10 @@ def test_links_come_from_opened_groups(spark, monkeypatch):
     r = random.Random(3)
     rows = []
     for family in range(30):
-        text = [f"f{family}w{i}" for i in range(r.randint(40, 120))]
-        for _ in range(r.choice([1, 2, 6])):
+        text = [f"f{family}w{i}" for i in range(r.randint(120, 200))]
+        for k in range(r.choice([1, 2, 6])):
             own = list(text)
-            own[r.randrange(len(own))] = "edit"
+            own[10 * k + 7] = "edit"
             rows.append((len(rows), " ".join(own), "en", "s"))
     found = {"opened": 0, "blocks": 0}
 

@@ -141,7 +141,7 @@ def write(docs: DataFrame, folder: str, path: str) -> DataFrame:
     their texts, a null text being empty. Each document ends with END_ID, so an empty one has one token. An empty
     table gives files without records and an empty manifest. Other columns are ignored.
     """
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return checkpoint(ranged.mapInArrow(_writer(folder, path), "part int, path string, records long, tokens long"))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +29,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset, a temporary one in local mode alone (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowgraph-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
     if not sc.getCheckpointDir():
@@ -57,15 +60,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The rows of the batches with their texts (null: empty), in slices of about limit characters."""
+    """The rows of the batches with their texts (null: empty), in slices of about limit bytes; only a slice is Python strings."""
     for batch in batches:
-        texts = [x or "" for x in batch.column("text").to_pylist()]
-        start = size = 0
-        for i, x in enumerate(texts):
-            size += len(x)
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            stop = min(len(ends), int(np.searchsorted(ends, before + limit)) + 1)
+            part = batch.slice(start, stop - start)
+            yield part, [x or "" for x in part.column("text").to_pylist()]
+            start = stop
 
 
 def fresh(name: str, df: DataFrame) -> str:

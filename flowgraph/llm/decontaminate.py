@@ -6,8 +6,8 @@ finds their exact hits in one run over a document; around each hit the item is v
 distance, with both ends of the passage free. Texts are compared in lower case with runs of blanks as one blank.
 Items under MIN_CHARS are held only unchanged and as whole words.
 
-Items are taken in blocks of BLOCK_CHARS characters: a block's automaton is what each worker holds, however large
-the benchmark is.
+Items are taken in blocks of BLOCK_CHARS characters: a worker holds one block's automaton at a time. Documents are read
+once, whatever the number of blocks: a task looks for one block after the other in each HELD_BYTES of its texts.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ERROR_RATE = 0.05
 #: Shorter items have no budget: a few edits, or a part of a word, match by chance.
 MIN_CHARS = 32
 BLOCK_CHARS = 2_000_000
+HELD_BYTES = 32 << 20
+Blocks = list  # of broadcast blocks
 HITS = "doc_id long, item_id long, edits int, item_chars int, start long"
 
 
@@ -152,11 +154,35 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tup
         yield tuple(block)
 
 
-def _finder(items, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searched(batches: Iterator[pa.RecordBatch], found: Blocks, rate: float) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Batches with what each of their texts holds of all blocks."""
+
+    def search(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+        out = [[[] for _ in range(len(b))] for b in held]
+        for block in found:
+            find = matcher(block.value, rate).find
+            for batch, hits in zip(held, out, strict=True):
+                at = 0
+                for _, texts in slices([batch]):
+                    for text in texts:
+                        hits[at] += find(text)
+                        at += 1
+        return zip(held, out, strict=True)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= HELD_BYTES or len(found) == 1:
+            yield from search(held)
+            held, size = [], 0
+    yield from search(held)
+
+
+def _finder(found: Blocks, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher(items.value, rate).find
-        for batch, texts in slices(batches):
-            rows = [(d, *hit[:2], *hit[2:]) for d, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for hit in find(t)]
+        for batch, hits in _searched(batches, found, rate):
+            rows = [(d, *hit) for d, own in zip(batch.column("doc_id").to_pylist(), hits, strict=True) for hit in own]
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in HITS.split(", ")])
@@ -164,11 +190,10 @@ def _finder(items, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _dropper(items, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _dropper(found: Blocks, rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher(items.value, rate).find
-        for batch, texts in slices(batches):
-            yield batch.filter(pa.array([not find(t) for t in texts], pa.bool_()))
+        for batch, hits in _searched(batches, found, rate):
+            yield batch.filter(pa.array([not own for own in hits], pa.bool_()))
 
     return run
 
@@ -180,18 +205,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, limit:
     each; repeated documents each get their rows; the start is that of the best passage, the first of equals, exact
     for edits = 0 and else at most `edits` characters off. Empty tables give no rows; other columns are ignored.
     """
-    sc, out = docs.sparkSession.sparkContext, docs.sparkSession.createDataFrame([], HITS)
-    for block in blocks(benchmark, limit):
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_finder(sc.broadcast(block), rate), HITS))
-    return out
+    return docs.select("doc_id", "text").mapInArrow(_finder(_sent(docs, benchmark, limit), rate), HITS)
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, limit: int) -> Blocks:
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(block) for block in blocks(benchmark, limit)]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """docs, all columns, without those that hold an item; needs a text column."""
-    sc = docs.sparkSession.sparkContext
-    for block in blocks(benchmark, limit):
-        docs = docs.mapInArrow(_dropper(sc.broadcast(block), rate), docs.schema)
-    return docs
+    return docs.mapInArrow(_dropper(_sent(docs, benchmark, limit), rate), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

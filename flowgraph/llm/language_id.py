@@ -28,6 +28,8 @@ TOP = 300
 UND = "und"
 BITS, EDGE = 21, 1
 PART = 500_000
+#: Texts that score less are in no learned language. Of 2500 held-out documents of four languages the least scored 0.52.
+LEAST = 0.4
 
 
 @lru_cache(maxsize=1)
@@ -35,36 +37,41 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams as numbers, ascending, and their counts."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = _letters()[code]
-    code = np.concatenate([[EDGE], np.where(letter, code, EDGE), [EDGE]])
-    code = code[np.concatenate([[True], (code[1:] != EDGE) | (code[:-1] != EDGE)])]
+def _count(code: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, as ascending numbers, that end after the first `old` symbols, and their counts."""
     two = code[:-1] << BITS | code[1:]
     inner = code[1:-1] != EDGE
-    three = (two[:-1] << BITS | code[2:])[inner]
-    keys = np.concatenate([code[code != EDGE], two, three])
+    three = two[:-1] << BITS | code[2:]
+    at = max(old - 2, 0)
+    one = code[old:]
+    keys = np.concatenate([one[one != EDGE], two[old - 1 :], three[at:][inner[at:]]])
     keys.sort()
     if not len(keys):
         return keys, keys
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.diff(np.append(at, len(keys)))
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """As _grams, a long text in parts that end at a blank."""
-    if len(text) <= PART:
-        return _grams(text)
-    keys, counts, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    while at < len(text):
-        end = text.find(" ", at + PART)
-        end = len(text) if end < 0 or end > at + 4 * PART else end
-        end = min(end, at + 4 * PART)
-        k, c = _grams(text[at:end])
-        at = end
+    """The distinct n-grams of a whole text as ascending numbers, and their counts.
+
+    A long text is worked out in parts; the last two symbols go from each to the next, so a cut changes nothing.
+    """
+    text = text.lower()
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.array([EDGE])
+    for at in range(0, max(1, len(text)), PART):
+        old = len(code)
+        part = np.frombuffer(text[at : at + PART].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        last = [EDGE] if at + PART >= len(text) else []
+        code = np.concatenate([code, np.where(_letters()[part], part, EDGE), np.array(last, np.int64)])
+        code = code[np.concatenate([[True], (code[1:] != EDGE) | (code[:-1] != EDGE)])]
+        k, c = _count(code, old)
+        if len(text) <= PART:
+            return k, c
         keys, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([counts, c])).astype(np.int64)
+        counts = np.bincount(inverse, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+        code = code[-2:]
     return keys, counts
 
 
@@ -154,13 +161,14 @@ def predict(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFIL
     return docs.mapInArrow(_predictor(ranked, profile), schema)
 
 
-def recognised(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE) -> DataFrame:
-    """docs, all columns, without those that predict calls `und` or, as no profile has any of their n-grams, scores 0."""
+def recognised(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PROFILE, least: float = 0.0) -> DataFrame:
+    """docs, all columns, without those that predict calls `und` or that score `least` or less: they are near to no profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Profiles(ranked, profile).predict
         for batch, texts in slices(batches):
-            yield batch.filter(pa.array([predict(t)[1] > 0 for t in texts], pa.bool_()))
+            found = [predict(t) for t in texts]
+            yield batch.filter(pa.array([score > least for _, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -31,9 +31,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "O")
 OTHER = len(KINDS)
 LEARN = 20_000
-SHAPES = 5_000
+SHAPE_CHARS = 24
 SURE = 0.6
-#: A safety limit for messages that swing and never settle: so many rounds, and so many more a link of the document with most.
+#: A safety limit for messages that swing and never settle: so many rounds, and so many more a link of their document.
 ROUNDS = 1000
 ROUNDS_A_LINK = 8
 SETTLED = 1e-4
@@ -49,6 +49,8 @@ _DIGIT = re.compile("[0-9]")
 _NO_DIGIT = re.compile("[^0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile("[0-9]+")
 _EDGES = "\"'`,;:!?<>[]{}=.*"
 
 Span = tuple[int, int, int]
@@ -94,12 +96,9 @@ def written(spans: list[Span]) -> str:
 
 
 def shape(word: str) -> str:
-    """Runs of letters as a, of digits as 9 with their length up to 9, the rest as it is up to 24 characters."""
-    word = re.sub(r"[0-9]+", lambda m: chr(0x2460 + min(len(m[0]), 9)), word[:200])
-    return re.sub(r"[^\W\d_]+", "a", word).translate(_CIRCLED)[:24]
-
-
-_CIRCLED = {0x2460 + i: f"9{i}" for i in range(1, 10)}
+    """Runs of letters as a, then runs of digits as 9 with their length up to 9, the rest as it is; a long shape as a digest of all of it."""
+    out = _DIGITS.sub(lambda m: f"9{min(len(m[0]), 9)}", _LETTERS.sub("a", word))
+    return out if len(out) <= SHAPE_CHARS else "#" + hashlib.blake2b(out.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def keys(word: str) -> list[str]:
@@ -125,6 +124,15 @@ def joint(run: list[tuple[int, str]]) -> tuple[str, list[int]]:
     return (f"d{digits[-7:]}" if len(held) > 1 and len(digits) >= 6 else ""), held
 
 
+def _kind(cover: list[Span], at: int, start: int, end: int) -> int:
+    """The kind of the first span (start, end, kind), from place `at` on, that meets the word, or OTHER."""
+    while at < len(cover) and cover[at][0] < end:
+        if cover[at][1] > start:
+            return cover[at][2]
+        at += 1
+    return OTHER
+
+
 @dataclass
 class Graph:
     """The field of a slice of documents; links are rows (word, word), tokens are (document, start, end)."""
@@ -162,7 +170,7 @@ def graph(texts: list[str], found: list[list[Span]]) -> Graph:
             n = len(tokens)
             tokens.append((d, start, end))
             shapes.append(shape(word))
-            seen.append(next((k for a, b, k in cover[at : at + 4] if a < end and b > start), OTHER))
+            seen.append(_kind(cover, at, start, end))
             if before >= 0:
                 near.append((before, n))
             before = n
@@ -207,10 +215,10 @@ class Field:
         back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
         told = np.zeros((len(src), k))
         belief = own.copy()
-        moving, turn, most = np.arange(len(src)), 0, 0
-        if len(links):
-            most = ROUNDS + ROUNDS_A_LINK * int(np.bincount(np.array([t[0] for t in g.tokens])[links[:, 0]]).max())
-        while len(moving) and turn < most:
+        moving, turn = np.arange(len(src)), 0
+        document = np.array([t[0] for t in g.tokens], np.int64)[src] if n else src
+        most = ROUNDS + ROUNDS_A_LINK * np.bincount(document, minlength=1)[document] // 2
+        while len(moving := moving[most[moving] > turn]):
             rest = belief[src[moving]] - told[back[moving]]
             new = np.logaddexp.reduce(rest[:, :, None] + table[moving], axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
@@ -260,29 +268,33 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], [*names, "n"])
 
 
-def learn(docs: DataFrame, most: int = LEARN, shapes: int = SHAPES) -> Field:
-    """Trains the field on about `most` rows of docs (doc_id, text).
+def learn(docs: DataFrame, most: int = LEARN, shapes: int | None = None) -> Field:
+    """Trains the field on about `most` rows of docs (doc_id, text), with all shapes in them, or the first `shapes`:
+    those seen with a kind before others, then by frequency.
 
-    All counts of links come to the driver, and those of at most `shapes` shapes, each with all of its labels: shapes
-    that were seen with a kind before others, then the frequent ones.
+    What comes to the driver are counts of links, 50 rows at most, and of the shapes in those rows, apart from shapes
+    seen once and as no kind: these tell no more than the prior for unseen ones does.
     """
     share = min(1.0, most / max(1, docs.select("doc_id").count()))
     chance = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.where(chance < share).select("text").mapInArrow(_counter, "factor string, value string, a long, b long, n long")
     counts = rows.groupBy("factor", "value", "a", "b").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("factor", "value").agg(F.collect_list(F.struct("a", "b", "n")).alias("labels"), F.sum("n").alias("n"), F.max((F.col("a") != OTHER).cast("int")).alias("kind"))
-    counts = counts.withColumn("kind", F.when(F.col("factor") == "own", F.col("kind")).otherwise(2))
-    counts = counts.orderBy(F.desc("kind"), F.desc("n"), "factor", "value").limit(shapes + 2).collect()
+    counts = counts.where((F.col("factor") != "own") | (F.col("a") != OTHER) | (F.col("n") > 1)).collect()
     k = len(LABELS)
     own: dict[str, np.ndarray] = {}
     tables = {"near": np.zeros((k, k)), "far": np.zeros((k, k))}
-    links = [r for r in counts if r.factor != "own"]
-    for r in links + [r for r in counts if r.factor == "own"][:shapes]:
-        for a, b, n in r.labels:
-            if r.factor == "own":
-                own.setdefault(r.value, np.zeros(k))[a] += n
-            else:
-                tables[r.factor][a, b] += n
+    if shapes is not None:
+        seen: dict[str, tuple[bool, int]] = {}
+        for _, value, a, _, n in (r for r in counts if r.factor == "own"):
+            kind, often = seen.get(value, (False, 0))
+            seen[value] = kind or a != OTHER, often + n
+        first = set(sorted(seen, key=lambda v: (not seen[v][0], -seen[v][1], v))[:shapes])
+        counts = [r for r in counts if r.factor != "own" or r.value in first]
+    for factor, value, a, b, n in sorted(counts):
+        if factor == "own":
+            own.setdefault(value, np.zeros(k))[a] += n
+        else:
+            tables[factor][a, b] += n
     prior = np.where(np.arange(k) == OTHER, 0.9, 0.1 / (k - 1))
 
     def logs(x: np.ndarray) -> list[float]:

@@ -23,6 +23,8 @@ from flowgraph.llm.common import documents, slices
 MARK = "▁"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEEP = 300_000
+#: Longer words share no prefix worth a trie and are walked alone, with the open paths as all their memory.
+LONG = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -60,29 +62,41 @@ def insert(words: Iterable[str]) -> dict:
     return root
 
 
+def _step(c: str, best: float, tokens: int, paths: tuple | list, vocabulary: Vocabulary) -> tuple[float, int, list]:
+    """The forward state after one more character: best score, fewest tokens, and vocabulary paths still open."""
+    top, fewest, still = best + vocabulary.unknown, tokens + len(c.encode("utf-8", "surrogatepass")), []
+    for path, score, n in (*paths, (vocabulary.root, best, tokens)):
+        if (path := path.get(c)) is not None:
+            if len(path) > 1 or "" not in path:
+                still.append((path, score, n))
+            if (own := path.get("")) is not None:
+                own += score
+                if own > top or (own == top and n + 1 < fewest):
+                    top, fewest = own, n + 1
+    return top, fewest, still
+
+
 def count(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, int]:
     """The number of tokens of each distinct word, which carries its mark."""
     out: dict[str, int] = {}
+    short = []
+    for word in words:
+        if len(word) <= LONG:
+            short.append(word)
+            continue
+        state = 0.0, 0, []
+        for c in word:
+            state = _step(c, *state, vocabulary)
+        out[word] = state[1]
     #: A trie node with its forward state: best score, tokens, open vocabulary paths with the state they began at.
-    todo = [(insert(words), 0.0, 0, ())]
-    vocab, unknown = vocabulary.root, vocabulary.unknown
+    todo = [(insert(short), 0.0, 0, [])]
     while todo:
         node, best, tokens, paths = todo.pop()
-        starts = (*paths, (vocab, best, tokens))
         for c, below in node.items():
-            if not c:
+            if c:
+                todo.append((below, *_step(c, best, tokens, paths, vocabulary)))
+            else:
                 out[below] = tokens
-                continue
-            top, fewest, still = best + unknown, tokens + len(c.encode("utf-8", "surrogatepass")), []
-            for path, score, n in starts:
-                if (path := path.get(c)) is not None:
-                    if len(path) > 1 or "" not in path:
-                        still.append((path, score, n))
-                    if (own := path.get("")) is not None:
-                        own += score
-                        if own > top or (own == top and n + 1 < fewest):
-                            top, fewest = own, n + 1
-            todo.append((below, top, fewest, still))
     return out
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once, in spark.checkpoint.dir; a temporary folder of its own only where that is unset."""
+    """df computed once, in spark.checkpoint.dir; a temporary folder only where that is unset and the master is local."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             found = tempfile.mkdtemp(prefix="flowgraph-")
             atexit.register(shutil.rmtree, found, True)
         sc.setCheckpointDir(found)

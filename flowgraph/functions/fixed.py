@@ -116,12 +116,54 @@ SINK_NAMES = {
         "(configur|setting|property).*(chang|updat|modif|set|reset)",
     ),
 }
+#: These patterns and the tables below are for Java names.
 #: Categories that never hold for names that begin with a query verb.
 QUERY_EXEMPT = ("credential", "system")
+#: Names that count as commands or statements if an argument's text shows it.
 COMMAND_NAMES = "(execut|run|invok|perform|call)"
 COMMAND_WORDS = "(sudo|su|cmd|bash|sh|powershell|chmod|chown|rm|del|kill|ps)"
 DDL_WORDS = r"(drop|create|alter|truncate|grant|revoke)\s+"
 
+# Fixed values of calls on library types by category: type, methods (a constructor is <init>, a % ends a prefix).
+TYPE_SINKS = {
+    "file": (
+        ("java.io.File", ("<init>", "delete", "mkdir", "mkdirs", "createNewFile", "setWritable", "setReadable", "setExecutable", "renameTo")),
+        ("java.nio.file.Paths", ("get",)),
+        ("java.nio.file.Files", ("delete", "deleteIfExists", "move", "copy", "createDirectory", "createDirectories", "write", "setPosixFilePermissions")),
+    ),
+    "process": (("java.lang.Runtime", ("exec",)), ("java.lang.ProcessBuilder", ("command", "directory", "<init>"))),
+    "network": (("java.net.Socket", ("<init>",)), ("java.net.ServerSocket", ("<init>",)), ("java.net.DatagramSocket", ("<init>",)), ("java.net.URL", ("openConnection",))),
+    "config": (("java.lang.System", ("setProperty", "setProperties", "setSecurityManager", "exit")), ("java.lang.Runtime", ("addShutdownHook", "halt"))),
+    "sql": (("java.sql.DriverManager", ("getConnection",)), ("java.sql.Statement", ("execute%",))),
+    "security": (
+        ("java.security.AccessController", ("checkPermission", "doPrivileged", "doPrivilegedWithCombiner")),
+        ("java.security.Policy", ("setPolicy", "getPermissions")),
+        ("java.lang.SecurityManager", ("check%",)),
+    ),
+    "reflection": (
+        ("java.lang.Class", ("forName", "newInstance")), ("java.lang.ClassLoader", ("loadClass", "defineClass")), ("java.lang.reflect.Method", ("setAccessible", "invoke")),
+        ("java.lang.reflect.Field", ("setAccessible",)), ("java.lang.reflect.Constructor", ("setAccessible",)),
+    ),
+    "crypto": (
+        ("javax.crypto.Cipher", ("getInstance", "init", "generateKey")), ("javax.crypto.KeyGenerator", ("getInstance", "init", "generateKey")),
+        ("java.security.Signature", ("getInstance", "initSign", "initVerify")),
+    ),
+}
+STANDARD_PACKAGES = r"^(java|javax|sun|com\.sun)\."
+SINK_ANNOTATIONS = (
+    "org.springframework.security.access.prepost.PreAuthorize", "org.springframework.security.access.prepost.PostAuthorize",
+    "javax.annotation.security.RolesAllowed", "javax.annotation.security.DenyAll", "javax.annotation.security.RunAs",
+)
+PRIVILEGED = "privileged"
+
+# Fixed values of names that tell of authentication and authorization.
+AUTH_METHOD = "(?i)(authenticate|isAuthenticated|checkAuth|verifyAuth|login|logout|hasRole|hasPermission|isAuthorized|checkPermission|checkRole|canAccess|isAdmin|isOwner|validateUser|verifyUser|checkAccess|hasAccess|isAllowed|checkCredentials|verifyCredentials|hasAuthority)"
+NO_AUTH_METHOD = "(?i)(test|mock|stub|example|demo|sample)"
+AUTH_VARIABLE = "(?i)(authenticated|authorized|currentUser|principal|subject|securityContext|userRole|userPermission|isAdmin|isOwner|hasAccess|canAccess|allowAccess|grantAccess)"
+AUTH_FIELD = "(?i)(authenticated|authorized|isAdmin|isOwner|hasAccess|canAccess|allowAccess|grantAccess|isActive|isEnabled|isValid|hasRole|hasPermission)"
+AUTH_TYPE = "(?i)(User|Principal|Subject|Role|Permission|Authority|Security|Auth)"
+SECURITY_PACKAGES = ("org.springframework.security.", "javax.security.", "jakarta.security.", "org.apache.shiro.", "com.auth0.")
+
 # Fixed values of limits and texts.
 NAME_LIMIT, AST_LIMIT, FUNCTION_LIMIT, TOP_OPERATIONS, VALIDATED_METHODS = 200, 2000, 5000, 10, 10
 CONTEXT_LINES, CLIP_ITEMS, CLIP_CHARS, FIELD_LINES = 12, 40, 6000, 50

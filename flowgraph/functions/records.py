@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +91,62 @@ def sink_categories(name: Column) -> Column:
     return F.concat_ws(",", *[F.when(sink_category(name, c), F.lit(c)) for c in fixed.SINK_NAMES])
 
 
+def type_category(owner: Column, method: Column, category: str) -> Column:
+    """Whether a call is one of a category's on a library type; owner is the declaring type in full, a constructor's method is <init>."""
+    named = lambda m: F.startswith(method, F.lit(m[:-1])) if m.endswith("%") else method == m
+    ways = [(owner == t) & reduce(lambda a, b: a | b, map(named, methods)) for t, methods in fixed.TYPE_SINKS[category]]
+    return F.coalesce(reduce(lambda a, b: a | b, ways), F.lit(False))
+
+
+def type_categories(owner: Column, method: Column) -> Column:
+    """All categories of a call on a library type, joined by commas."""
+    return F.concat_ws(",", *[F.when(type_category(owner, method, c), F.lit(c)) for c in fixed.TYPE_SINKS])
+
+
+def argument_category(method: Column, argument: Column) -> Column:
+    """`command` or `database` for a plain verb whose argument's text is a command or changes a schema; else null."""
+    low, said = F.lower(method), F.lower(F.coalesce(argument, F.lit("")))
+    return F.when(low.rlike(fixed.COMMAND_NAMES) & said.rlike(rf"\b{fixed.COMMAND_WORDS}\b"), F.lit("command")).when(low.rlike(fixed.COMMAND_NAMES) & said.rlike(fixed.DDL_WORDS), F.lit("database"))
+
+
+def annotated_sink(annotation: Column) -> Column:
+    """Whether an annotation, its type in full, marks a privileged method."""
+    return annotation.isin(*fixed.SINK_ANNOTATIONS) | (F.lower(F.element_at(F.split(annotation, r"\."), -1)) == fixed.PRIVILEGED)
+
+
+def user_sink(owner: Column, method: Column) -> Column:
+    """Whether a call outside the standard packages has a privileged name."""
+    return ~F.coalesce(owner, F.lit("")).rlike(fixed.STANDARD_PACKAGES) & (sink_categories(method) != "")
+
+
+def enhanced_sink(owner: Column, method: Column, annotation: Column) -> Column:
+    """Whether a call is privileged by its library type, its name or its annotation."""
+    return (type_categories(owner, method) != "") | user_sink(owner, method) | F.coalesce(annotated_sink(annotation), F.lit(False))
+
+
+def is_auth_method(name: Column) -> Column:
+    return name.rlike(fixed.AUTH_METHOD) & ~name.rlike(fixed.NO_AUTH_METHOD)
+
+
+def is_security_framework(owner: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(owner, F.lit(p)) for p in fixed.SECURITY_PACKAGES])
+
+
+def _auth_type(kind: Column) -> Column:
+    return F.element_at(F.split(kind, r"\."), -1).isin("boolean", "Boolean") | is_security_framework(kind) | F.element_at(F.split(kind, r"\."), -1).rlike(fixed.AUTH_TYPE)
+
+
+def auth_pattern(kind: Column, owner: Column, name: Column) -> Column:
+    """Why what a condition reads tells of access control: a call's method, a variable or a field with its type; else null.
+
+    kind is call, variable or field; owner is a call's declaring type, or the type of the variable or field.
+    """
+    return (
+        F.when((kind == "call") & is_auth_method(name), F.lit("auth_method_call")).when((kind == "call") & is_security_framework(owner), F.lit("framework_security_call"))
+        .when((kind == "variable") & name.rlike(fixed.AUTH_VARIABLE) & _auth_type(owner), F.lit("auth_variable_check")).when((kind == "field") & name.rlike(fixed.AUTH_FIELD) & _auth_type(owner), F.lit("auth_field_check"))
+    )
+
+
 def callsite_record(message: Column) -> Column:
     """Struct of callsite_id and target from `file:line:col -> name@file:line`; exactly one arrow, else null.
 

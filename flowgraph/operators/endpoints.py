@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flowgraph.functions import fixed
 from flowgraph.functions.identifiers import present
 from flowgraph.functions.records import infer_protocol, infer_verb, outbound_channels
-from flowgraph.operators.rows import keep_first
+from flowgraph.operators.rows import keep_first, numbered
 
 
 def source_files(files: DataFrame, language: str = "", file: str = "file") -> DataFrame:
@@ -68,7 +68,7 @@ def heuristic_endpoints(lines: DataFrame) -> DataFrame:
 def distinct_endpoints(endpoints: DataFrame) -> DataFrame:
     """Endpoints that are the same in protocol, method, route, handler and file once, the first by ord; ids ep_0, ..."""
     once = keep_first(endpoints, ["protocol", "method", "route", "handler", "file"], "ord")
-    return once.withColumn("id", F.concat(F.lit("ep_"), (F.row_number().over(Window.orderBy("ord")) - 1).cast("string")))
+    return numbered(once, "id", "ord", pattern="ep_%d")
 
 
 def heuristic_outbound(flows: DataFrame) -> DataFrame:

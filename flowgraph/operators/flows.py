@@ -81,14 +81,42 @@ def group_key(flows: DataFrame, by: str) -> DataFrame:
     return joined.join(sizes, F.col("component") == F.col("_c")).withColumn("group_key", key).drop("_c", "_n", "_s", "_k", "component")
 
 
-def summarize_groups(flows: DataFrame) -> DataFrame:
-    """For each group_key: flows, distinct sources, sinks and functions, and their sorted lists."""
-    functions = F.filter(F.array_distinct(F.flatten(F.collect_list(F.transform("steps", lambda s: s["function_id"])))), lambda x: x.isNotNull() & (x != "") & (x != fixed.NO_FUNCTION))
-    out = flows.groupBy("group_key").agg(
-        F.count("*").alias("flow_count"), F.sort_array(F.collect_set("source_location")).alias("sources"),
-        F.sort_array(F.collect_set("sink_location")).alias("sinks"), F.sort_array(functions).alias("functions"),
-    )
-    return out.withColumns({f"unique_{c}": F.size(c) for c in ("sources", "sinks", "functions")})
+def _distinct(rows: DataFrame, name: str, lists: bool) -> DataFrame:
+    """For each group_key how many distinct `value` there are, and, if asked for, these sorted."""
+    once = rows.where("value is not null").distinct()
+    found = [F.count("*").cast("int").alias(f"unique_{name}"), *([F.sort_array(F.collect_list("value")).alias(name)] if lists else [])]
+    return once.groupBy("group_key").agg(*found)
+
+
+def summarize_groups(flows: DataFrame, lists: bool = True) -> DataFrame:
+    """For each group_key: flows, distinct sources, sinks and functions, and, unless lists is off, these sorted.
+
+    Values are made distinct before they are counted, so no group's flows are gathered in one row.
+    """
+    functions = flows.select("group_key", F.explode(F.array_distinct(F.transform("steps", lambda s: s["function_id"]))).alias("value"))
+    parts = {
+        "sources": flows.select("group_key", F.col("source_location").alias("value")), "sinks": flows.select("group_key", F.col("sink_location").alias("value")),
+        "functions": functions.where(~F.col("value").isin("", fixed.NO_FUNCTION)),
+    }
+    out = flows.groupBy("group_key").agg(F.count("*").alias("flow_count"))
+    for name, rows in parts.items():
+        out = out.join(_distinct(rows, name, lists).withColumnRenamed("group_key", "_g"), F.col("group_key").eqNullSafe(F.col("_g")), "left").drop("_g")
+        out = out.withColumn(f"unique_{name}", F.coalesce(f"unique_{name}", F.lit(0)))
+        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>"))) if lists else out
+    return out
+
+
+def sink_place(steps: Column, sink_location: Column) -> Column:
+    """Where a flow ends: its last step's place, and only without steps the place that it states."""
+    return F.coalesce(F.when(F.size(steps) > 0, F.try_element_at(steps, F.lit(-1))["location"]).otherwise(sink_location), F.lit(""))
+
+
+def first_groups(flows: DataFrame, most: int | None) -> DataFrame:
+    """The flows of the first `most` groups, in the order in which their first flows stand; all for None."""
+    if most is None:
+        return flows
+    first = flows.groupBy("group_key").agg(F.min("ord").alias("_o")).orderBy("_o", "group_key").limit(most).select("group_key")
+    return flows.join(first, "group_key", "left_semi")
 
 
 def summary(groups: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from flowgraph.functions import fixed
 
+#: Lines to a bin of the range joins.
+BIN = 64
+
 
 def explode_lines(files: DataFrame, text: str = "text", file: str = "file") -> DataFrame:
     """A row per line of each file; a line break at the end opens no further line, an empty text has none."""
@@ -42,11 +45,18 @@ def tainted_variable(line: Column, start: Column, end: Column) -> Column:
     return F.trim(F.substring(line, start, F.greatest(end - start, F.lit(0))))
 
 
+def in_spans(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """spans (_file, start_line, end_line, ...) joined with the lines in them, on file and a bin of lines."""
+    binned = spans.withColumn("_bin", F.explode(F.sequence((F.greatest("start_line", F.lit(0)) / BIN).cast("int"), (F.greatest("start_line", "end_line", F.lit(0)) / BIN).cast("int"))))
+    rows = lines.withColumn("_at", (F.col("line_no") / BIN).cast("int"))
+    on = (F.col("_file") == F.col("file")) & (F.col("_bin") == F.col("_at")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
+    return binned.join(rows, on).drop("_bin", "_at")
+
+
 def window_of(places: DataFrame, lines: DataFrame, context: int = fixed.CONTEXT_LINES) -> DataFrame:
     """Lines up to `context` around each place: key, file, line_no, text."""
-    p = places.select("key", F.col("file").alias("_file"), "line")
-    on = (F.col("_file") == F.col("file")) & F.col("line_no").between(F.col("line") - context, F.col("line") + context)
-    return p.join(lines, on).select("key", "file", "line_no", "text")
+    p = places.select("key", F.col("file").alias("_file"), (F.col("line") - context).alias("start_line"), (F.col("line") + context).alias("end_line"))
+    return in_spans(p, lines).select("key", "file", "line_no", "text")
 
 
 def numbered_text(rows: DataFrame, key: list[str], separator: str = ":") -> DataFrame:
@@ -58,15 +68,13 @@ def numbered_text(rows: DataFrame, key: list[str], separator: str = ":") -> Data
 
 def bodies(spans: DataFrame, lines: DataFrame, separator: str = ":") -> DataFrame:
     """spans (key, file, start_line, end_line) with their numbered source; null where none of their lines is there."""
-    on = (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    inside = spans.withColumnRenamed("file", "_file").join(lines, on).select("key", "line_no", "text")
+    inside = in_spans(spans.withColumnRenamed("file", "_file"), lines).select("key", "line_no", "text")
     return spans.join(numbered_text(inside, ["key"], separator), "key", "left")
 
 
 def marked_body(spans: DataFrame, lines: DataFrame, checks: DataFrame, width: int = 0) -> DataFrame:
     """As bodies, `number: text`, with a mark at the end of the lines in checks (file, line)."""
-    on = (F.col("file") == F.col("_file")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    inside = spans.withColumnRenamed("file", "_file").join(lines, on)
+    inside = in_spans(spans.withColumnRenamed("file", "_file"), lines)
     marks = checks.select(F.col("file").alias("_c"), F.col("line").alias("_l")).distinct()
     inside = inside.join(marks, (F.col("file") == F.col("_c")) & (F.col("line_no") == F.col("_l")), "left")
     text = F.when(F.col("_l").isNotNull(), F.concat_ws(" ", "text", F.lit(fixed.AUTH_MARK))).otherwise(F.col("text"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowgraph.sources.workspace import checkpoint
+
 
 def _first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -59,6 +61,22 @@ def union_all(*branches: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 0, pattern: str | None = None) -> DataFrame:
-    """A gapless number over the whole table, or a text of it; for result lists, whose order is total."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1 + start
-    return df.withColumn(name, F.format_string(pattern, n) if pattern else n)
+    """A gapless number over the whole table, or a text of it, by a total order.
+
+    Rows are sorted by ranges and counted by partition, so no task sees more than its own range.
+    """
+    place = fresh_name("_place", df)
+    rows = checkpoint(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()))
+    parts = rows.groupBy(F.shiftright(place, 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    n = F.col("_before") + F.col(place) % F.lit(1 << 33) + start
+    out = rows.join(F.broadcast(before), F.shiftright(place, 33) == F.col("_part"))  # a row per partition
+    return out.withColumn(name, F.format_string(pattern, n) if pattern else n).drop(place, "_part", "_before")
+
+
+def fresh_name(name: str, df: DataFrame) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.functions import fixed
+from flowgraph.operators.rows import numbered
 
 TRUE_POSITIVE, FALSE_POSITIVE, UNKNOWN, NEEDS_CONTEXT = fixed.ASSESSMENTS
 
@@ -75,8 +76,7 @@ def vulnerabilities(verdicts: DataFrame, prune: bool = True) -> DataFrame:
         F.min("ord").alias("_first"), F.sort_array(F.collect_set("source_location")).alias("sources"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "flow_id"))), lambda x: x["flow_id"]).alias("flows"),
     )
-    number = F.row_number().over(Window.orderBy("_first", "sink"))
-    return grouped.select(F.format_string("V%03d", number).alias("id"), "sink", "sources", "flows")
+    return numbered(grouped, "id", "_first", "sink", start=1, pattern="V%03d").select("id", "sink", "sources", "flows")
 
 
 def vulnerable_pairs(verdicts: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from flowgraph.functions import fixed
 from flowgraph.functions.channels import parse_channel
 from flowgraph.operators import graph, matching, stitch
+from flowgraph.operators.flows import sink_place
+from flowgraph.operators.rows import numbered
 from flowgraph.sources.manifest import entry_services
+from flowgraph.sources.workspace import checkpoint
 
 
 def _ref() -> Column:
@@ -31,7 +34,7 @@ def build_graph(services: DataFrame, flows: DataFrame, outbound: DataFrame, endp
     """(nodes, edges) of all services, as operators.graph has them; edges carry service, to_service, channel and steps."""
     node = graph.node_id
     endpoints = endpoints.withColumn("ep", _ref()).dropDuplicates(["service", "ep"])
-    flows = flows.where("source_location <> ''")
+    flows = flows.where("source_location <> ''").withColumn("sink_location", sink_place(F.col("steps"), F.col("sink_location")))
     tainted = flows.select("service", F.col("source_location").alias("source"), "ord").groupBy("service", "source").agg(F.min("ord").alias("ord"))
     sinks = flows.where("kind = 'sink' and sink_location <> ''")
     entries = entry_services(services).select("service")
@@ -43,8 +46,7 @@ def build_graph(services: DataFrame, flows: DataFrame, outbound: DataFrame, endp
         as_node(endpoints, "endpoint", "ep").select("kind", "service", "ref"), as_node(entry_eps, "entry", "ref").select("kind", "service", "ref"), as_node(entry_src, "entry", "source").select("kind", "service", "ref"),
         as_node(tainted, "source", "source").select("kind", "service", "ref"), outbound.select(F.lit("boundary").alias("kind"), "service", F.col("id").alias("ref")), sinks.select(F.lit("sink").alias("kind"), "service", F.col("sink_location").alias("ref")),
     )
-    order = F.dense_rank().over(_by("kind", "service", "ref")) - 1
-    nodes = nodes.withColumn("ord", order)
+    nodes = numbered(nodes, "ord", "kind", "service", "ref")
 
     channel = parse_channel(F.col("channel"), F.coalesce("protocol", F.lit("http")), F.col("method"))
     calls = outbound.withColumn("raw", F.col("channel")).withColumn("channel", channel)
@@ -81,22 +83,27 @@ def build_graph(services: DataFrame, flows: DataFrame, outbound: DataFrame, endp
     return nodes, edges
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
-
-
-def global_flows(services: DataFrame, flows: DataFrame, outbound: DataFrame, endpoints: DataFrame, depth: int = fixed.MAX_DEPTH) -> DataFrame:
-    """Stitched flows across services, the best per sink, services and channels, numbered gflow_0, ..."""
+def _stitched(services: DataFrame, flows: DataFrame, outbound: DataFrame, endpoints: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     nodes, edges = build_graph(services, flows, outbound, endpoints)
-    paths = graph.simple_paths(nodes, edges, depth)
+    edges = checkpoint(edges)
+    paths, truncated = graph.path_search(nodes, edges, depth)
     b = outbound.select(graph.node_id("boundary", F.col("service"), F.col("id")).alias("id"), F.col("file").alias("file"), F.col("line").alias("line"), F.col("channel").alias("channel"), F.lit(None).cast("string").alias("route"), F.lit(None).cast("string").alias("handler"))
     e = endpoints.withColumn("ep", _ref()).dropDuplicates(["service", "ep"]).select(graph.node_id("endpoint", F.col("service"), F.col("ep")).alias("id"), "file", "line", F.lit(None).cast("string").alias("channel"), "route", "handler")
     data = b.unionByName(e)
     side = lambda p: data.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("file", "line", "channel", "route", "handler")])
     full = stitch.edge_steps(edges.join(side("src"), "src", "left").join(side("dst"), "dst", "left"))
-    return stitch.best_flows(stitch.path_flows(paths, full))
+    return stitch.best_flows(stitch.path_flows(paths, full)), truncated
+
+
+def global_flows(services: DataFrame, flows: DataFrame, outbound: DataFrame, endpoints: DataFrame, depth: int = fixed.MAX_DEPTH) -> DataFrame:
+    """Stitched flows across services, the best per sink, services and channels, numbered gflow_0, ..."""
+    return _stitched(services, flows, outbound, endpoints, depth)[0]
+
+
+def document(services: DataFrame, flows: DataFrame, outbound: DataFrame, endpoints: DataFrame, application: str, depth: int = fixed.MAX_DEPTH, manifest: str | None = None) -> DataFrame:
+    """The document of an application's stitched flows, one row; writers.write_document makes it a file."""
+    found, truncated = _stitched(services, flows, outbound, endpoints, depth)
+    return stitch.global_document(checkpoint(found), services, application, truncated, manifest)
 
 
 def summary(found: DataFrame) -> DataFrame:

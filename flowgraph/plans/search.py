@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowgraph.functions import fixed
@@ -18,8 +18,12 @@ from flowgraph.operators.rows import keep_first, union_all
 from flowgraph.plans.global_flows import global_flows
 
 #: Names of syntax operations and what else they are called.
-OPERATIONS = ("method", "call", "if", "for", "while", "switch", "try", "return", "assign", "class")
-ALIASES = {"function": "method", "methods": "method", "functions": "method", "calls": "call", "invocation": "call", "loop": "for", "branch": "if", "assignment": "assign", "classes": "class"}
+OPERATIONS = ("call", "method", "field_access", "assignment", "return", "string_literal", "conditional", "catch", "parameter", "new")
+ALIASES = {
+    "invocation": "call", "callsite": "call", "function": "method", "callable": "method", "attribute": "field_access", "field": "field_access",
+    "assign": "assignment", "if": "conditional", "branch": "conditional", "except": "catch", "try": "catch", "param": "parameter",
+    "string": "string_literal", "str": "string_literal", "constructor": "new",
+}
 
 
 class Unsupported(ValueError):
@@ -33,6 +37,13 @@ def term_pattern(term: str) -> str:
     return term if re.search(r"[\\^$*+?()\[\]{}|]", term) else f"(?i).*{re.escape(term)}.*"
 
 
+def operation(c: Column) -> Column:
+    """The operation that a name, in any case, stands for; null for an unknown one."""
+    low = F.lower(F.trim(c))
+    found = F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[low], low)
+    return F.when(found.isin(*OPERATIONS), found)
+
+
 def normalize_operation(name: str) -> str:
     low = name.strip().lower()
     found = ALIASES.get(low, low)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from flowgraph.functions.identifiers import clean_uri
 from flowgraph.functions.records import callsite_record, parse_endpoint, parse_inter, router_record
 from flowgraph.operators.callgraph import valid_function
-from flowgraph.operators.lines import explode_lines
-from flowgraph.operators.rows import keep_first, upsert
+from flowgraph.operators.lines import explode_lines, in_spans
+from flowgraph.operators.rows import keep_first, numbered, upsert
 from flowgraph.sources import schemas
 
 
@@ -47,7 +47,7 @@ def sarif_messages(spark: SparkSession, path: str) -> DataFrame:
 def interservice(spark: SparkSession, path: str) -> DataFrame:
     """Outbound calls of a SARIF file, ids out_0, ... in their order."""
     rows = sarif_messages(spark, path).withColumn("_r", parse_inter(F.col("message"))).where("_r is not null")
-    return rows.select(F.concat(F.lit("out_"), F.rank().over(_order("result_index")).cast("int") - 1).alias("id"), "_r.*", F.col("result_index").alias("ord"))
+    return numbered(rows, "id", "result_index", pattern="out_%d").select("id", "_r.*", F.col("result_index").alias("ord"))
 
 
 def endpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -57,12 +57,6 @@ def endpoints(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("_r.protocol", "_r.method", "_r.route", "_r.handler", "_r.handler_name", F.when(missing, F.col("file")).otherwise(F.col("_r.file")).alias("file"), F.when(missing, F.col("line")).otherwise(F.col("_r.line")).alias("line"), F.col("result_index").alias("ord"))
 
 
-def _order(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def callsites(spark: SparkSession, path: str) -> DataFrame:
     """Calls of a SARIF file; of one id the last result counts."""
     rows = sarif_messages(spark, path).withColumn("_r", callsite_record(F.col("message"))).where("_r is not null")
@@ -75,7 +69,8 @@ def router_definitions(spark: SparkSession, path: str, lines: DataFrame) -> Data
     pattern = r"^(.*):(\d+):(\d+)$"
     part = lambda g: F.regexp_extract("router_definition_id", pattern, g)
     spans = rows.select("router_definition_id", part(1).alias("_file"), part(2).try_cast("int").alias("_a"), part(3).try_cast("int").alias("_b")).distinct()
-    inside = spans.join(lines, (F.col("_file") == F.col("file")) & F.col("line_no").between(F.col("_a"), F.col("_b")))
+    spans = spans.where("_a <= _b").withColumn("start_line", F.col("_a")).withColumn("end_line", F.col("_b"))
+    inside = in_spans(spans, lines)
     entry = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     source = inside.groupBy("router_definition_id", "_a", "_b").agg(F.array_join(F.transform(entry, lambda x: x["text"]), "\n").alias("_s"), F.count("*").alias("_n"))
     whole = source.where(F.col("_n") == F.col("_b") - F.col("_a") + 1).select("router_definition_id", F.col("_s").alias("router_source_code"))
@@ -120,6 +115,18 @@ def class_records(spark: SparkSession, path: str) -> DataFrame:
     return keep_first(rows.where("start_line is not null and end_line is not null"), ["class_id"], "ord").drop("ord")
 
 
+#: Languages whose functions and classes can be mapped, by all their names.
+MAPPED = {"java": "java", "python": "python", "go": "go", "cpp": "cpp", "c++": "cpp", "csharp": "csharp", "javascript": "javascript"}
+
+
+def mapping(spark: SparkSession, functions: str, classes: str | None, language: str) -> dict[str, DataFrame]:
+    """The functions table of a language's extraction, by that language's rules, and the classes where they were extracted."""
+    if language not in MAPPED:
+        raise ValueError(f"unsupported language: {language}")
+    found = {"functions": function_records(spark, functions, MAPPED[language])}
+    return found | {"classes": class_records(spark, classes)} if classes else found
+
+
 def _map(spark: SparkSession, path: str, name: str, value: str) -> DataFrame:
     return _json(spark, path, f"{name} map<string,{value}>").select(F.explode(name).alias("k", "v"))
 

@@ -125,8 +125,17 @@ def has_gateway_content(path: str, text: str) -> bool:
         return False
 
 
-def gateway_files(files: DataFrame, depth: int = 10) -> DataFrame:
-    """YAML files that configure a gateway, by content, in path order; files has file and text."""
+def _common(files: DataFrame, common: tuple[str, ...]) -> DataFrame:
+    """The files at common places, with their rank among these."""
+    rank = F.coalesce(*[F.when(F.col("file") == c, F.lit(k)) for k, c in enumerate(common)], F.lit(None).cast("int"))
+    return files.withColumn("_rank", rank).where("_rank is not null")
+
+
+def gateway_files(files: DataFrame, depth: int = 10, common: tuple[str, ...] = ()) -> DataFrame:
+    """Files at common places, in their order, then YAML files that configure a gateway, by content, in path order; each once.
+
+    files has file and text.
+    """
     parts = F.split("file", "/")
     wanted = files.where(F.col("file").rlike(r"\.ya?ml$") & (F.size(parts) <= depth) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS))))
     schema = wanted.schema
@@ -135,12 +144,30 @@ def gateway_files(files: DataFrame, depth: int = 10) -> DataFrame:
         for b in batches:
             yield b[[has_gateway_content(f, t or "") for f, t in zip(b.file, b.text, strict=True)]]
 
-    return wanted.mapInPandas(keep, schema).orderBy("file")
+    found = wanted.where(~F.col("file").isin(*common) if common else F.lit(True)).mapInPandas(keep, schema).withColumn("_rank", F.lit(len(common)))
+    return _common(files, common).unionByName(found).orderBy("_rank", "file").drop("_rank")
+
+
+def first_gateway(files: DataFrame, common: tuple[str, ...] = (), depth: int = 10) -> DataFrame:
+    """The first file at a common place, else the first one outside skipped folders named `*gateway.yaml`, or none."""
+    parts = F.split("file", "/")
+    named = files.where(F.col("file").rlike(r"gateway\.yaml$") & (F.size(parts) <= depth + 1) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED_FOLDERS))))
+    found = _common(files, common).unionByName(named.withColumn("_rank", F.lit(len(common))))
+    return found.orderBy("_rank", F.size(F.split("file", "/")), "file").limit(1).drop("_rank")
+
+
+#: Names of a description, in the order they are looked for.
+READMES = (
+    "README.md", "README.rst", "README.txt", "README", "readme.md", "readme.rst", "readme.txt", "readme",
+    "Readme.md", "Readme.rst", "Readme.txt", "Readme",
+)
 
 
-def first_gateway(files: DataFrame) -> DataFrame:
-    """The first file named `*gateway.yaml`, or none."""
-    return files.where(F.col("file").rlike(r"gateway\.ya?ml$")).orderBy(F.size(F.split("file", "/")), "file").limit(1)
+def app_description(files: DataFrame, limit: int = fixed.DESCRIPTION_CHARS) -> DataFrame:
+    """One row, or none: the text of the first README, a longer one cut at its last blank within the limit, with dots."""
+    head = F.left("text", F.lit(limit))
+    cut = F.when(F.contains(head, F.lit(" ")), F.regexp_extract(head, "(?s)^(.*) ", 1)).otherwise(head)
+    return _common(files, READMES).orderBy("_rank").limit(1).select("file", F.when(F.length("text") <= limit, F.col("text")).otherwise(F.concat(cut, F.lit("..."))).alias("description"))
 
 
 def entry_points(results: DataFrame, confidence: float = 0.95) -> DataFrame:

@@ -165,7 +165,7 @@ def test_search(spark, two):
     assert [x.function_id for x in app.qcg("inner@u.py:18", "callers", "users").collect()] == ["set@u.py:10"]
     assert {x.flow_id for x in app.qflow("data", "update", "users").collect()} == {"f1"} and app.qflow("", "", "users").count() == 2
     assert app.qinter().count() == 1 and app.qsource("users").count() == 3 and app.qglobalflow().count() == 1
-    assert app.qast("methods", "users").count() == 2 and app.qast("call", "users").count() == 3
+    assert app.qast("callable", "users").count() == 2 and app.qast("call", "users").count() == 3
     with pytest.raises(Unsupported):
         app.qast("while")
     assert app.get_source("x.inner()@u.py:20", "users").first().source.startswith("18:line 18\n19:")
@@ -176,4 +176,4 @@ def test_search(spark, two):
     assert app.resolve_request("inner@u.py:18", "users").first().source.startswith("18:line 18")
     assert app.get_type("set@u.py:10", "users").first().type == "def set(x)" and app.get_type("none", "users").first().type == "unknown"
     assert [x.location for x in app.get_location(spark.createDataFrame([("i", "f.py", 3), ("j", None, 4)], "id string, file string, line int")).orderBy("id").collect()] == ["f.py:3", "j"]
-    assert normalize_operation(" Calls ") == "call" and term_pattern("a.b") == "(?i).*a\\.b.*" and term_pattern(" ") == ".*" and term_pattern("a.*") == "a.*"
+    assert normalize_operation(" Callsite ") == "call" and term_pattern("a.b") == "(?i).*a\\.b.*" and term_pattern(" ") == ".*" and term_pattern("a.*") == "a.*"

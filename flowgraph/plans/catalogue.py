@@ -16,6 +16,7 @@ from flowgraph.functions import channels as ch
 from flowgraph.functions import fixed
 from flowgraph.functions import identifiers as ids
 from flowgraph.functions import records
+from flowgraph.plans.search import Application
 from flowgraph.operators import callgraph, checks, components, flows, graph, lines, matching, rows, verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,17 +109,13 @@ def body_text(spark, d):
 
 
 _CALLS = f"""{_LINES}, {_FUNCTIONS},
-calls as (select 'g@' || file || ':' || line_no as callsite_id, case when line_no % 7 = 0 then 'gone@lib:1' else 'f0@' || file || ':1' end as target_function_id, file, line_no from lines where line_no % 3 = 0)"""
+calls as (select 'g@' || file || ':' || line_no as callsite_id, case when line_no % 7 = 0 then 'gone@lib:1' else 'f0@' || file || ':1' end as target_function_id, file, line_no from lines)"""
 
 
-_ALL_CALLS = _CALLS.replace(" where line_no % 3 = 0", "")
-
-
-def doc_calls(found: DataFrame, every_line: bool = False) -> DataFrame:
-    """Every third line, or every one, calls its file's outer function, or, each seventh, something unknown."""
+def doc_calls(found: DataFrame) -> DataFrame:
+    """Every line calls its file's outer function, or, each seventh, something unknown."""
     place = F.concat_ws(":", "file", F.col("line_no").cast("string"))
     target = F.when(F.col("line_no") % 7 == 0, F.lit("gone@lib:1")).otherwise(F.concat(F.lit("f0@"), "file", F.lit(":1")))
-    found = found if every_line else found.where("line_no % 3 = 0")
     return found.select(F.concat(F.lit("g@"), place).alias("callsite_id"), target.alias("target_function_id"))
 
 
@@ -136,20 +133,6 @@ def callers(spark, d):
     return callgraph.callers("gone@lib:1", doc_calls(found), functions).select("function_id", "name", "file_path", "start_line", "end_line")
 
 
-@query(f"with {_ALL_CALLS} select f.function_id as caller_id, c.callsite_id, c.target_function_id, coalesce(t.name, regexp_extract(c.target_function_id, '^([^@]*)', 1)) as name, t.file_path as target_file, c.line_no as call_line from functions f join calls c on c.file = f.file_path and c.line_no between f.start_line and f.end_line left join functions t on t.function_id = c.target_function_id")
-def all_callees(spark, d):
-    found = doc_lines(spark, d)
-    functions = doc_functions(found)
-    return callgraph.callees(functions, doc_calls(found, True), functions).select("caller_id", "callsite_id", "target_function_id", "name", "target_file", "call_line")
-
-
-@query(f"with {_ALL_CALLS}, around as (select c.callsite_id, f.function_id, row_number() over (partition by c.callsite_id order by f.end_line - f.start_line, -f.start_line, f.function_id) as r from calls c join functions f on f.file_path = c.file and c.line_no between f.start_line and f.end_line where c.target_function_id = 'gone@lib:1') select function_id, name, file_path, start_line, end_line from functions where function_id in (select function_id from around where r = 1)")
-def all_callers(spark, d):
-    found = doc_lines(spark, d)
-    functions = doc_functions(found)
-    return callgraph.callers("gone@lib:1", doc_calls(found, True), functions).select("function_id", "name", "file_path", "start_line", "end_line")
-
-
 @query(f"with {_LINES}, {_FUNCTIONS} select (select count(*) from functions) as total_functions, (select count(distinct file_path) from functions) as unique_files, (select count(*) from lines) as line_mappings")
 def index_stats(spark, d):
     return callgraph.index_stats(doc_functions(doc_lines(spark, d)))
@@ -164,18 +147,22 @@ def search_names(spark, d):
     return callgraph.search_names(parts, "^(red|blue) .*t", name="p_name", key="p_partkey").select("p_partkey", "p_name")
 
 
-@query("select 0 as branch, p_partkey as k, p_name as name from part where regexp_matches(p_name, 'bolt') union all select 1, s_suppkey, s_name from supplier where regexp_matches(s_name, '7$')")
+@query("""select * from (select 'function' as kind, p_partkey::varchar as id, p_name as name from part where regexp_matches(p_name, 'bolt') order by p_name, p_partkey limit 150)
+union all select * from (select 'class', s_suppkey::varchar, s_name from supplier where regexp_matches(s_name, 'bolt|7$') order by s_name, s_suppkey limit 150)""")
 def search_union(spark, d):
-    a = _t(spark, d, "part").where(F.col("p_name").rlike("bolt")).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
-    b = _t(spark, d, "supplier").where(F.col("s_name").rlike("7$")).select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    return rows.union_all(a, b).select("branch", "k", "name")
+    one, none = F.lit(1), F.lit(None).cast("string")
+    functions = _t(spark, d, "part").select(F.lit("s").alias("service"), F.col("p_partkey").cast("string").alias("function_id"), F.col("p_name").alias("name"), F.concat("p_name", F.lit(":"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("file_path"), one.alias("start_line"), one.alias("end_line"))
+    classes = _t(spark, d, "supplier").select(F.lit("s").alias("service"), F.col("s_suppkey").cast("string").alias("class_id"), F.col("s_name").alias("name"), F.concat("s_name", F.lit(":"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0")).alias("file_path"), one.alias("start_line"), one.alias("end_line"), none.alias("package_name"))
+    services = spark.createDataFrame([("s", 0)], "service string, ord int")
+    app = Application({"services": services, "functions": functions, "classes": classes})
+    return app.qname("bolt", ("function",), limit=150).unionByName(app.qname("bolt|7$", ("class",), limit=150)).select("kind", "id", "name")
 
 
-@query("select c.c_custkey, c.c_name, o.o_orderkey from customer c left join orders o on o.o_custkey = c.c_custkey where c.c_mktsegment = 'BUILDING'")
+@query("select o_custkey, o_orderkey, r_name as router_source_code from orders left join region on r_regionkey = o_custkey where o_orderpriority = '1-URGENT'")
 def exact_lookup_left(spark, d):
-    c = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
-    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "c_name", "o_orderkey")
+    functions = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("function_id"), "o_orderkey", F.lit("f").alias("file_path"), F.lit(1).alias("start_line"))
+    routers = _t(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("function_id"), F.col("r_name").alias("router_source_code"))
+    return callgraph.by_name(functions, "1-URGENT", routers).select(F.col("function_id").alias("o_custkey"), "o_orderkey", "router_source_code")
 
 
 @query("select l.l_orderkey || '/' || l.l_linenumber as callsite_id, 'p' || l.l_partkey as function_id, p.p_name as name, r.s_name as router_source_code from lineitem l join part p on p.p_partkey = l.l_partkey left join supplier r on r.s_suppkey = l.l_partkey")
@@ -235,6 +222,8 @@ def sanitize_identifier(spark, d):
 l as (select *, trim(string_split(s, chr(10))[1]) as l from p), c as (select *, length(l) - length(replace(l, ':', '')) as n from l)
 select p_partkey, s as place, case when n = 2 and regexp_matches(l, ':[0-9]+:[0-9]+$') then trim(regexp_extract(l, '^(.*):([0-9]+):([0-9]+)$', 1), '"') when n >= 4 then regexp_extract(l, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', 1) end as file,
 case when n = 2 and regexp_matches(l, ':[0-9]+:[0-9]+$') then regexp_extract(l, '^(.*):([0-9]+):([0-9]+)$', 2) when n >= 4 then regexp_extract(l, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', 2) end as start_line,
+case when n = 2 and regexp_matches(l, ':[0-9]+:[0-9]+$') then regexp_extract(l, '^(.*):([0-9]+):([0-9]+)$', 2) when n >= 4 then regexp_extract(l, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', 4) end as end_line,
+case when n = 2 and regexp_matches(l, ':[0-9]+:[0-9]+$') then regexp_extract(l, '^(.*):([0-9]+):([0-9]+)$', 3) when n >= 4 then regexp_extract(l, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', 3) end as start_column,
 case when n = 2 and regexp_matches(l, ':[0-9]+:[0-9]+$') then regexp_extract(l, '^(.*):([0-9]+):([0-9]+)$', 3) when n >= 4 then regexp_extract(l, '^(.*):([0-9]+):([0-9]+):([0-9]+):([0-9]+)$', 5) end as end_column from c""")
 def parse_location(spark, d):
     size = F.col("p_size").cast("string")
@@ -242,7 +231,7 @@ def parse_location(spark, d):
         F.concat(F.lit('"a/'), "p_name", F.lit('.java":'), size, F.lit(":7")), F.concat(F.lit("b.java:"), size, F.lit(":3:"), (F.col("p_size") + 2).cast("string"), F.lit(":9\ntail")), F.lit("c:1:2:3"), F.lit("d:x:1"), F.lit("e:1"),
     )
     found = _t(spark, d, "part").select("p_partkey", F.explode(made).alias("place")).withColumn("l", ids.parse_location(F.col("place")))
-    return found.select("p_partkey", "place", "l.file", F.col("l.start_line").cast("string").alias("start_line"), F.col("l.end_column").cast("string").alias("end_column"))
+    return found.select("p_partkey", "place", "l.file", *[F.col(f"l.{c}").cast("string").alias(c) for c in ("start_line", "end_line", "start_column", "end_column")])
 
 
 # Channels ----------------------------------------------------------------------------------------------------------
@@ -369,19 +358,19 @@ def _summary_sql(key: str) -> str:
 
 @query(_summary_sql("'s' || l_suppkey"))
 def group_by_sink(spark, d):
-    found = flows.summarize_groups(flows.group_key(line_flows(spark, d), "sinks"))
+    found = flows.summarize_groups(flows.group_key(line_flows(spark, d), "sinks"), lists=False)
     return found.select("group_key", "flow_count", "unique_sources", "unique_sinks", "unique_functions")
 
 
 @query(_summary_sql("'p' || l_partkey"))
 def group_by_source(spark, d):
-    found = flows.summarize_groups(flows.group_key(line_flows(spark, d), "sources"))
+    found = flows.summarize_groups(flows.group_key(line_flows(spark, d), "sources"), lists=False)
     return found.select("group_key", "flow_count", "unique_sources", "unique_sinks", "unique_functions")
 
 
 @query(f"with g as ({_summary_sql(chr(39) + 's' + chr(39) + ' || l_suppkey')}) select count(*) as total_groups, sum(flow_count)::bigint as total_flows, sum(unique_functions)::bigint as total_unique_functions from g")
 def flow_summary(spark, d):
-    return flows.summary(flows.summarize_groups(flows.group_key(line_flows(spark, d), "sinks")))
+    return flows.summary(flows.summarize_groups(flows.group_key(line_flows(spark, d), "sinks"), lists=False))
 
 
 @query("select event_id as flow, min(event_id) over (partition by event_id // 100) as component from events")
@@ -392,16 +381,11 @@ def shared_components(spark, d):
     return components.shared_components(_t(spark, d, "events").select(i.alias("flow"), source.alias("source"), sink.alias("sink")))
 
 
-_LIBRARY_NAMES = "with t as (select event_id, unnest(['go@src/main/A.java:3', 'a.b.C.run', 'File.name@x/y.java:4', 'name@/lib/io.jar!/org/io/File.class:0']) as request from events where event_id < 50) select event_id, request, case when not contains(request, '@') then request when contains(request, '.jar!') then 'org.io.File.name' when contains(split_part(request, '@', 1), '.') then split_part(request, '@', 1) end as fqn from t"
+_LIBRARY_NAMES = "with t as (select event_id, unnest(['go@src/main/A.java:3', 'a.b.C.run', 'File.name@x/y.java:4', 'name@/lib/io.jar!/org/io/File.class:0']) as request from events) select event_id, request, case when not contains(request, '@') then request when contains(request, '.jar!') then 'org.io.File.name' when contains(split_part(request, '@', 1), '.') then split_part(request, '@', 1) end as fqn from t"
 
 
 @query(_LIBRARY_NAMES)
 def library_names(spark, d):
-    return _library_names(_t(spark, d, "events").where("event_id < 50"))
-
-
-@query(_LIBRARY_NAMES.replace(" where event_id < 50", ""))
-def all_library_names(spark, d):
     return _library_names(_t(spark, d, "events"))
 
 
@@ -421,17 +405,13 @@ def approx_flow_filter(spark, d):
 # The graph ---------------------------------------------------------------------------------------------------------
 
 _EDGES = """select 'entry:r:' || r_regionkey as src, 'source:n:' || n_nationkey as dst, 'enters' as kind from region join nation on n_regionkey = r_regionkey
-union all select 'source:n:' || n_nationkey, 'boundary:c:' || c_custkey, 'intra_flow' from nation join customer on c_nationkey = n_nationkey where c_custkey % 50 = 0
-union all select 'boundary:c:' || c_custkey, 'sink:s:' || s_suppkey, 'inter_call' from customer join supplier on s_nationkey = c_nationkey where c_custkey % 50 = 0"""
-
-
-_ALL_EDGES = _EDGES.replace(" where c_custkey % 50 = 0", "")
+union all select 'source:n:' || n_nationkey, 'boundary:c:' || c_custkey, 'intra_flow' from nation join customer on c_nationkey = n_nationkey
+union all select 'boundary:c:' || c_custkey, 'sink:s:' || s_suppkey, 'inter_call' from customer join supplier on s_nationkey = c_nationkey"""
 
 
-def world(spark: SparkSession, d: str, every_customer: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Regions enter nations, nations flow to customers, each fiftieth or every one, and customers call the suppliers of their nation."""
+def world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Regions enter nations, nations flow to customers, and customers call the suppliers of their nation."""
     r, n, c, s = (_t(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
-    c = c if every_customer else c.where("c_custkey % 50 = 0")
 
     def side(df: DataFrame, kind: str, service: str, key: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), F.lit(service).alias("service"), F.col(key).cast("string").alias("ref"), F.col(key).alias("ord"))
@@ -456,14 +436,8 @@ def edges_union(spark, d):
     return world(spark, d)[1].select("src", "dst", "kind")
 
 
-@query(_ALL_EDGES)
-def all_edges_union(spark, d):
-    return world(spark, d, True)[1].select("src", "dst", "kind")
-
-
 _PATHS = """select 'sink:s:' || s_suppkey as sink, 'entry:r:' || r_regionkey || '>source:n:' || n_nationkey || '>boundary:c:' || c_custkey || '>sink:s:' || s_suppkey as path, r_regionkey, n_nationkey, c_custkey, s_suppkey
-from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey and c_custkey % 50 = 0 join supplier on s_nationkey = n_nationkey"""
-_ALL_PATHS = _PATHS.replace(" and c_custkey % 50 = 0", "")
+from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey"""
 
 
 def _path_rows(found: DataFrame) -> DataFrame:
@@ -473,7 +447,7 @@ def _path_rows(found: DataFrame) -> DataFrame:
 
 @query(f"select sink, path, 3 as length from ({_PATHS})")
 def simple_paths(spark, d):
-    return _path_rows(graph.simple_paths(*world(spark, d), per_sink=10**6, total=10**6))
+    return _path_rows(graph.simple_paths(*world(spark, d), per_sink=None, total=None))
 
 
 @query(f"with p as (select *, row_number() over (partition by sink order by r_regionkey, n_nationkey, c_custkey) as r from ({_PATHS})), t as (select *, row_number() over (order by r_regionkey, n_nationkey, c_custkey, s_suppkey) as n from p where r <= 2) select sink, path, 3 as length from t where n <= 30")
@@ -481,16 +455,6 @@ def capped_paths(spark, d):
     return _path_rows(graph.simple_paths(*world(spark, d), per_sink=2, total=30))
 
 
-@query(f"select sink, path, 3 as length from ({_ALL_PATHS})")
-def all_simple_paths(spark, d):
-    return _path_rows(graph.simple_paths(*world(spark, d, True), per_sink=None, total=None))
-
-
-@query(f"with p as (select *, row_number() over (partition by sink order by r_regionkey, n_nationkey, c_custkey) as r from ({_ALL_PATHS})), t as (select *, row_number() over (order by r_regionkey, n_nationkey, c_custkey, s_suppkey) as n from p where r <= 2) select sink, path, 3 as length from t where n <= 30")
-def all_capped_paths(spark, d):
-    return _path_rows(graph.simple_paths(*world(spark, d, True), per_sink=2, total=30))
-
-
 # Texts, checks and verdicts ----------------------------------------------------------------------------------------
 
 _TAGGED = """t as (select conv_id, turn, case turn % 3 when 0 then 'x <Assessment> ' || role || chr(10) || ' </assessment> <assessment>no</assessment>' when 1 then '<request>a@f.py:' || turn || '; Svc.doIt' || chr(10) || 'bad one;x.Y</request>' || '<request>pkg.Cls.go_1</request>' else text end as text from conversations)"""
@@ -592,16 +556,11 @@ def _categories_sql() -> str:
 _VERBS, _NOUNS = ("create", "run", "get", "grant", "reset", "shutdown", "lock", "execute"), ("User", "Command", "Role", "Password", "Server", "Sql", "Widget")
 
 
-_SINK_NAMES = f"with n as (select p_partkey, v || m || p_type as name, lower(v || m || p_type) as n from part, (select unnest({list(_VERBS)}) as v), (select unnest({list(_NOUNS)}) as m) where p_partkey < 50) select p_partkey, name, {_categories_sql()} as categories from n"
+_SINK_NAMES = f"with n as (select p_partkey, v || m || p_type as name, lower(v || m || p_type) as n from part, (select unnest({list(_VERBS)}) as v), (select unnest({list(_NOUNS)}) as m) ) select p_partkey, name, {_categories_sql()} as categories from n"
 
 
 @query(_SINK_NAMES)
 def sink_pattern_match(spark, d):
-    return _sink_names(_t(spark, d, "part").where("p_partkey < 50"))
-
-
-@query(_SINK_NAMES.replace(" where p_partkey < 50", ""))
-def all_sink_pattern_match(spark, d):
     return _sink_names(_t(spark, d, "part"))
 
 

@@ -60,21 +60,29 @@ def without_prefix(parts: Column, prefix: Column) -> Column:
     return F.when((n > 0) & (F.slice(parts, 1, n) == prefix), F.slice(parts, n + 1, F.size(parts))).otherwise(parts)
 
 
+def plain(parts: Column) -> Column:
+    """Segments in lower case, wild ones as null."""
+    return F.transform(parts, lambda s: F.when(~is_wild(s), F.lower(s)))
+
+
 def aligned(out: Column, endpoint: Column) -> Column:
-    """The tail of a channel's segments against an endpoint's: 1 for alike, 0 for wild, -1 for different, each."""
+    """The tail of a channel's plain segments against an endpoint's: 1 for alike, 0 for wild, -1 for different, each."""
     tail = F.slice(out, F.greatest(F.size(out) - F.size(endpoint), F.lit(0)) + 1, F.size(endpoint))
-    return F.zip_with(tail, endpoint, lambda o, e: F.when(is_wild(o) | is_wild(e), 0).when(F.lower(o) == F.lower(e), 1).otherwise(-1))
+    return F.zip_with(tail, endpoint, lambda o, e: F.when(o.isNull() | e.isNull(), 0).when(o == e, 1).otherwise(-1))
 
 
-def with_path_score(df: DataFrame, out: str, endpoint: str, name: str = "path_score") -> DataFrame:
+def with_path_score(df: DataFrame, out: str, endpoint: str, name: str = "path_score", are_plain: bool = False) -> DataFrame:
     """df with how well an endpoint's segments cover the tail of a channel's; 0 for not at all, rounded half to even.
 
-    Steps are columns of their own, so that each is computed once.
+    Steps are columns of their own, so that each is computed once; are_plain says that the segments are plain already.
     """
+    if not are_plain:
+        df = df.withColumns({"_o1": plain(F.col(out)), "_e1": plain(F.col(endpoint))})
+        return with_path_score(df, "_o1", "_e1", name, True).drop("_o1", "_e1")
     n, m = F.size(out), F.size(endpoint)
     df = df.withColumn("_pairs", aligned(F.col(out), F.col(endpoint)))
     df = df.withColumn("_hits", F.size(F.filter("_pairs", lambda x: x == 1))).withColumn("_wrong", F.array_contains("_pairs", -1))
-    literal = F.exists(endpoint, lambda e: ~is_wild(e))
+    literal = F.exists(endpoint, lambda e: e.isNotNull())
     base = F.when(m == n, fixed.EXACT_BASE).otherwise(fixed.SUFFIX_BASE)
     score = F.bround((base * (0.5 + 0.5 * F.col("_hits") / m)).cast("double"), 4)
     none = F.col("_wrong") | ((F.col("_hits") == 0) & literal)
@@ -82,6 +90,11 @@ def with_path_score(df: DataFrame, out: str, endpoint: str, name: str = "path_sc
     return df.withColumn(name, whole).drop("_pairs", "_hits", "_wrong")
 
 
+def path_parts(out: Column, own: Column, prefix: Column) -> Column:
+    """What the score of a pair needs of its paths: a channel's segments, plain ones too, an endpoint's after the prefix, and that."""
+    return F.struct(out.alias("out"), plain(out).alias("plain"), plain(own).alias("own"), prefix.alias("prefix"))
+
+
 def with_match_score(df: DataFrame) -> DataFrame:
     """df with the score of its channel and endpoint (structs of kind, method, host, path, topic) for tokens and base_path."""
     c, e = (lambda f: F.col(f"channel.{f}")), (lambda f: F.col(f"endpoint.{f}"))
@@ -92,9 +105,12 @@ def with_match_score(df: DataFrame) -> DataFrame:
     last = F.element_at(F.split(b, "/"), -1)
     by_rpc = F.when((e("kind") == "grpc") & topics, F.when(a == b, 1.0).when(F.endswith(a, F.concat(F.lit("/"), last)), fixed.RPC_SUFFIX)).otherwise(0.0)
 
-    df = df.withColumn("_prefix", segments(F.col("base_path")))
-    df = df.withColumn("_out", without_prefix(segments(c("path")), F.col("_prefix"))).withColumn("_own", without_prefix(segments(e("path")), F.col("_prefix")))
-    df = with_path_score(df, "_out", "_own", "_path")
+    if "parts" not in df.columns:
+        prefix = segments(F.col("base_path"))
+        df = df.withColumn("parts", path_parts(segments(c("path")), without_prefix(segments(e("path")), prefix), prefix))
+    own = F.col("parts.prefix")
+    cut = F.when((F.size(own) > 0) & (F.slice("parts.out", 1, F.size(own)) == own), F.slice("parts.plain", F.size(own) + 1, F.size("parts.plain"))).otherwise(F.col("parts.plain"))
+    df = with_path_score(df.withColumn("_out", cut).withColumn("_own", F.col("parts.own")), "_out", "_own", "_path", True)
     host = F.lower(F.coalesce(c("host"), F.lit("")))
     df = df.withColumn("_named", (host != "") & F.exists("tokens", lambda t: (t != "") & F.contains(host, F.lower(t))))
     df = df.withColumn("_other", F.coalesce(c("method") != e("method"), F.lit(False)))
@@ -106,4 +122,4 @@ def with_match_score(df: DataFrame) -> DataFrame:
     mq = c("kind").isin(*fixed.MQ_KINDS) | e("kind").isin(*fixed.MQ_KINDS)
     rpc = (c("kind") == "grpc") | (e("kind") == "grpc")
     score = F.bround(F.coalesce(F.when(mq, by_topic).when(rpc, by_rpc).otherwise(by_path), F.lit(0.0)).cast("double"), 4)
-    return df.withColumn("score", score).drop("_prefix", "_out", "_own", "_path", "_named", "_other")
+    return df.withColumn("score", score).drop("parts", "_out", "_own", "_path", "_named", "_other")

@@ -305,8 +305,8 @@ def path_score(spark, d):
     services = _outbound(outs).select("service", F.array().cast("array<string>").alias("tokens"), F.lit(None).cast("string").alias("base_path")).distinct()
     # Every call and endpoint as a service of its own, so that all pairs are asked for.
     pairs = matching.candidates(_outbound(outs).withColumn("service", F.lit("caller")), _endpoints(eps), services.withColumn("service", F.concat(F.lit(""), "service")))
-    scored = pairs.withColumn("o", ids.segments(F.col("channel.path"))).withColumn("e", ids.segments(F.col("endpoint.path")))
-    return ch.with_path_score(scored, "o", "e", "score").where("score > 0").select(F.col("id").alias("page_id"), "ep", "score")
+    scored = pairs.withColumn("o", F.col("parts.plain")).withColumn("e", F.col("parts.own"))
+    return ch.with_path_score(scored, "o", "e", "score", are_plain=True).where("score > 0").select(F.col("id").alias("page_id"), "ep", "score")
 
 
 @query(f"with {_OUT_EP}, {_SCORES}, r as (select page_id, 's' || (ep % 5) as to_service, ep, score, row_number() over (partition by page_id, ep % 5 order by score desc, ep) as rank from s2 where score >= 0.4 and page_id % 5 <> ep % 5) select page_id, to_service, ep, score::double as score, rank::int as rank from r where rank <= 2")

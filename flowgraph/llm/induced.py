@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SMALL = 1 << 11
+SMALL = 1 << 8
 STEP = 128
 
 

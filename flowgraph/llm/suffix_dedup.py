@@ -41,7 +41,7 @@ SHIFT = (LENGTH - GRAM) // MARKS
 BLOCK = 1 << 18
 #: Stretches in which a map task looks for copies, how many copies of one it lets through, and bytes of a suffix array.
 HELD = 100_000
-KEEP = 2
+KEEP = 1
 SHARD = 1 << 19
 #: Cells of anchors to each shuffle partition: a task works on one after the other.
 CELLS = 4
@@ -356,9 +356,11 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema.names)
 
 
-def _pairs(x) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.array([(s["start"], s["end"]) for s in x or ()], np.int64).reshape(-1, 2)
-    return flat[:, 0], flat[:, 1]
+def _lists(column: pa.ListArray, *fields: str) -> tuple[list[int], dict[str, pa.Array]]:
+    """Where the lists of a column begin and end, a null one as empty, and the fields of all their elements."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    return np.append(0, np.cumsum(sizes)).tolist(), {f: flat.field(f) for f in fields}
 
 
 _PARTS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int32()), ("data", pa.binary())])
@@ -367,12 +369,15 @@ _PARTS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("tie", pa.int6
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches with partners."""
     for batch, texts in slices(batches):
-        rows = []
-        for doc, tie, asked, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "asked")), texts, strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            rows += [(s["anchor"], doc, tie, s["start"], data[s["start"] : s["end"]]) for s in asked]
-        if rows:
-            yield _table(rows, _PARTS)
+        at, fields = _lists(batch.column("asked"), "anchor", "start", "end")
+        start, end = (fields[c].to_pylist() for c in ("start", "end"))
+        data: list[bytes] = []
+        for a, b, text in zip(at, at[1:], texts, strict=False):
+            whole = text.encode("utf-8", "surrogatepass")
+            data += [whole[x:y] for x, y in zip(start[a:b], end[a:b], strict=True)]
+        if data:
+            doc, tie = (np.repeat(batch.column(c).to_numpy(), np.diff(at)) for c in ("doc", "tie"))
+            yield pa.RecordBatch.from_arrays([fields["anchor"], pa.array(doc), pa.array(tie), fields["start"], pa.array(data, pa.binary())], _PARTS.names)
 
 
 def repeated_windows(parts: list[bytes], rank: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -404,6 +409,8 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray) -> Iterator[tuple[int
 def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered stretches by the suffix arrays of shards of whole anchor groups."""
     for batch in _whole_groups(batches, "anchor", SHARD // (LENGTH + 40)):
+        #: Equal stretches stand apart, so that few names are tied beyond one of them.
+        batch = batch.take(np.random.default_rng(len(batch)).permutation(len(batch)))
         doc, tie, start = (batch.column(c).to_numpy() for c in ("doc", "tie", "start"))
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort([start, tie, doc])] = np.arange(len(doc))
@@ -415,10 +422,12 @@ def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
+        at, fields = _lists(batch.column("covered"), "start", "end")
+        start, end = (fields[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
         rows = []
-        for doc_id, covered, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "covered")), texts, strict=True):
+        for doc_id, a, b, text in zip(batch.column("doc_id").to_pylist(), at, at[1:], texts, strict=False):
             data = text.encode("utf-8", "surrogatepass")
-            rows.append((doc_id, len(data), *_cut(data, *_pairs(covered))))
+            rows.append((doc_id, len(data), *_cut(data, start[a:b], end[a:b])))
         if rows:
             yield _table(rows, _RESULTS)
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: from documents to packed sequences of tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
-columns of documents: language ID drops documents that are near to no language profile, the n-gram join keeps one document
+columns of documents: language ID drops documents that share no n-gram with any language profile, the n-gram join keeps one document
 of each group of near copies, decontamination drops documents that hold a benchmark item, and the privacy stage
 replaces personal data in the text. The last gives a row per piece of a packed sequence.
 """
@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranked = language_id.learn(language_id.train_split(docs))
-    return language_id.recognised(docs, ranked, least=language_id.LEAST)
+    return language_id.recognised(docs, ranked)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

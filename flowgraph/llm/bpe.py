@@ -16,6 +16,8 @@ import numpy as np
 
 #: The pre-tokenizer's rule, with letters as [^\W\d_], for texts in SURE.
 WORD = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The same rule as it reads for ASCII texts.
+ASCII_WORD = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+")
 UNSURE = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-龥가-힣‐-‗‘-‧‰-⁞€]")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 LONG = 500_000
@@ -46,8 +48,7 @@ class Encoder:
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([UNSURE.pattern, *special]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._library("\n")
         self.codes, self.uses = _Codes(), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -59,6 +60,9 @@ class Encoder:
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _odd(self, text: str) -> bool:
+        return UNSURE.search(text) is not None or any(s in text for s in self.special)
+
     def _trim(self) -> None:
         """Keeps the words used most, half the table at most, and forgets half of their uses."""
         half = self.keep // 2
@@ -74,22 +78,23 @@ class Encoder:
         return self.ids[np.repeat(self.ends[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _words(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        if self._odd(text):
             return [text]
+        rule = ASCII_WORD if text.isascii() else WORD
         if len(text) <= LONG:
-            return WORD.findall(text)
+            return rule.findall(text)
         out, at = [], 0
         while at < len(text):
             cut = SAFE_CUT.search(text, min(at + LONG, len(text)))
             end = cut.start() if cut else len(text)
-            out += WORD.findall(text[at:end])
+            out += rule.findall(text[at:end])
             at = end
         return out
 
     def _encode_new(self) -> None:
         """Words without a line break go to the library together, a line each: a line break is always a word of its own."""
         new, self.codes.pending = self.codes.pending, []
-        alone = {k: self._library(w) for k, w in enumerate(new) if w.isspace() or self.odd.search(w) or "\n" in w or "\r" in w}
+        alone = {k: self._library(w) for k, w in enumerate(new) if w.isspace() or self._odd(w) or "\n" in w or "\r" in w}
         together = self._library("\n".join([w for k, w in enumerate(new) if k not in alone] if alone else new) + "\n")
         breaks = np.flatnonzero(together == self.newline[0])
         if alone:
@@ -112,7 +117,7 @@ class Encoder:
             codes += map(code, words)
         if self.codes.pending:
             self._encode_new()
-        at = np.array(codes, np.int64)
+        at = np.fromiter(codes, np.int64, len(codes))
         self.uses += np.bincount(at, minlength=len(self.uses))
         sizes = self.ends[at + 1] - self.ends[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from flowgraph.llm.common import kept
+
 #: The pre-tokenizer's rule, with letters as [^\W\d_], for texts in SURE.
 WORD = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: The same rule as it reads for ASCII texts.
@@ -124,10 +125,9 @@ class Encoder:
         return self._gather(at, sizes), np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One per Python worker; its table lives on from task to task."""
-    return Encoder(path)
+    return kept(Encoder, path)
 
 
 def default_path() -> str:

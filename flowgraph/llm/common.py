@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,26 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
             start = stop
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *key):
+    """make(*key), which lives on in a Python worker from task to task until another is asked for, so one at most is there."""
+    at = (make, *key)
+    if at not in _kept:
+        _kept.clear()
+        _kept[at] = make(*key)
+    return _kept[at]
+
+
+def let_go() -> None:
+    """Drops what an operator before kept in this worker, and gives freed memory back to the system where it can be told to."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name like this one that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -13,13 +13,12 @@ once, whatever the number of blocks: a task looks for one block after the other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgraph.llm.common import documents, read, slices
+from flowgraph.llm.common import documents, kept, read, slices
 
 ERROR_RATE = 0.05
 #: Shorter items have no budget: a few edits, or a part of a word, match by chance.
@@ -131,10 +130,9 @@ class Matcher:
         return best
 
 
-@lru_cache(maxsize=1)
 def matcher(items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
     """The last block's automaton lives on from task to task."""
-    return Matcher(items, rate)
+    return kept(Matcher, items, rate)
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:

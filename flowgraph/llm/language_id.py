@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from flowgraph.llm.common import documents, slices
+from flowgraph.llm.common import documents, let_go, slices
 
 LEARN = 3_000
 PROFILE = 1_000
@@ -110,6 +110,7 @@ def held_out(key: Column) -> Column:
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams by language, of about SLICE_CHARS characters at a time."""
+    let_go()
     for batch, texts in slices(batches):
         parts: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
@@ -141,6 +142,7 @@ def learn(labelled: DataFrame, most: int = LEARN, profile: int = PROFILE) -> dic
 
 def _predictor(ranked: dict[str, list[int]], profile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         predict = Profiles(ranked, profile).predict
         for batch, texts in slices(batches):
             found = [predict(t) for t in texts]
@@ -165,6 +167,7 @@ def recognised(docs: DataFrame, ranked: dict[str, list[int]], profile: int = PRO
     """docs, all columns, without those that predict calls `und` or that score `least` or less: they are near to no profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         predict = Profiles(ranked, profile).predict
         for batch, texts in slices(batches):
             found = [predict(t) for t in texts]

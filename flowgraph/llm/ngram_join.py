@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import bit_filter, checkpoint, documents, fresh, passes, slices, spot, stored
+from flowgraph.llm.common import bit_filter, checkpoint, documents, fresh, let_go, passes, slices, spot, stored
 
 WORDS = 5
 PERCENT = 80
@@ -149,6 +149,7 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 
 def _sketch(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros(LEVEL_CELLS, np.int64)
         for _, texts in slices(batches):
             if sets := text_sets(texts, n):
@@ -180,6 +181,7 @@ def levels(docs: DataFrame, n: int = WORDS) -> np.ndarray:
 
 def _setter(level, n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = level.value
         for batch, texts in slices(batches):
             sizes, high, low, firsts = [], [], [], []
@@ -232,6 +234,7 @@ def _resetter(n: int, bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """Sets of the documents that the filter lets through; few others, none missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             inside = passes(bits.value, np.array(batch.column("spot")))
             for _, texts in slices([batch.filter(pa.array(inside))]):

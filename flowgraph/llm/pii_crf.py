@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import documents, slices
+from flowgraph.llm.common import documents, let_go, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "O")
@@ -254,6 +254,7 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (factor, value, labels): shapes with a label, and links with both their labels."""
+    let_go()
     for _, texts in slices(batches):
         g = graph(texts, [base_spans(t) for t in texts])
         counts: dict[tuple[str, str, int, int], int] = {}

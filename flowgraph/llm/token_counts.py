@@ -13,12 +13,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from flowgraph.llm.common import documents, slices
+from flowgraph.llm.common import documents, kept, slices
 
 MARK = "▁"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,9 +115,8 @@ class Counter:
         return [(len(words), sum(map(known, words))) for words in found]
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(Counter, path)
 
 
 def _run(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,11 +56,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for results that are read more than once with few columns."""
-    path = fresh_dir(df.sparkSession, name)
+    return stored_at(df, fresh_dir(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at this path.
+
+    The shuffle files that went into it are of no more use. Spark deletes them once the driver has collected the objects
+    that stand for them, which it else does half an hour later.
+    """
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """The rows of the batches with their texts (null: empty), in slices of about limit bytes; only a slice is Python strings."""
     for batch in batches:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowgraph.llm.common import bit_filter, checkpoint, documents, fresh, let_go, passes, slices, spot, stored
+from flowgraph.llm.common import bit_filter, checkpoint, delete, documents, fresh, fresh_dir, let_go, passes, slices, spot, stored, stored_at
 
 WORDS = 5
 PERCENT = 80
@@ -454,12 +454,15 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     level = spark.sparkContext.broadcast(levels(docs, n))
     sets = docs.mapInArrow(_setter(level, n, percent), "doc_id long, n long, d1 long, d2 long, firsts array<long>")
-    sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    at = fresh_dir(spark, "sets")
+    whole = stored_at(sets.withColumn("row", F.monotonically_increasing_id()), at)
+    sets = stored(whole.drop("firsts"), "documents")
     full = sets.where("n > 0")
     classes = checkpoint(full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("class_id"), F.min_by("doc_id", "row").alias("first_id")))
-    nodes = full.select(F.col("row").alias("node"), "firsts").join(classes.select("node"), "node", "left_semi")
+    nodes = whole.select(F.col("row").alias("node"), "firsts").join(classes.select("node"), "node", "left_semi")
     posts = nodes.select("node", F.explode("firsts").alias("token")).repartition("token").sortWithinPartitions("token", "node")
     shared = stored(posts.mapInArrow(_stars, "token long, node long, center long"), "shared")
+    delete(spark, at)
 
     sizes = full.select(F.col("row").alias("node"), "n")
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))

@@ -23,7 +23,7 @@ UNSURE = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏЀ-ҁҊ-ӿぁ-ゖァ-ヺ一-
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 LONG = 500_000
 #: Characters to encode at a time; the table's upkeep costs the same for few or many.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 class _Codes(dict):

@@ -88,6 +88,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Itera
             part = batch.slice(start, stop - start)
             yield part, [x or "" for x in part.column("text").to_pylist()]
             start = stop
+    trim()
 
 
 _kept: dict[tuple, object] = {}
@@ -97,17 +98,22 @@ def kept(make: Callable, *key):
     """make(*key), which lives on in a Python worker from task to task until another is asked for, so one at most is there."""
     at = (make, *key)
     if at not in _kept:
-        _kept.clear()
+        let_go()
         _kept[at] = make(*key)
     return _kept[at]
 
 
 def let_go() -> None:
-    """Drops what an operator before kept in this worker, and gives freed memory back to the system where it can be told to."""
+    """Drops what an operator before kept in this worker."""
     _kept.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system where it can be told to: idle workers stay beside those at work."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
 def fresh(name: str, df: DataFrame) -> str:

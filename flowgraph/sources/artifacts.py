@@ -29,8 +29,47 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.where("_corrupt_record is null").drop("_corrupt_record")
 
 
+def _by_lines(spark: SparkSession, path: str, schema: str, form: schemas.Lines) -> DataFrame | None:
+    """A document of one element for each element of the file, and its place _at; None where the file is not in that form.
+
+    The lines are checked before: if one is broken or an end is missing, the file has to be read, and judged, as a whole.
+    """
+    try:
+        text = spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    first = text.select(F.left("value", F.lit(len(form.head) + 1)).alias("value")).first()
+    if len(text.inputFiles()) != 1 or not first or first.value != form.head:
+        return None
+    lines = text.select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    end = (F.col("value") == form.head) | F.startswith("value", F.lit(form.foot[0]))
+    comma = F.startswith("value", F.lit(","))
+    one = F.concat(F.lit(form.head), F.when(comma, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")), F.lit(form.foot))
+    read = F.from_json(one, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    seen = lines.select("_block", "_id", end.alias("_end"), (~end & ~comma).alias("_bare"), read.alias("_d")).select("*", F.expr(form.count.format("_d")).alias("_size"))
+    bad = ~F.col("_end") & (F.col("_d._corrupt_record").isNotNull() | ~F.coalesce(F.col("_size") == 1, F.lit(False)))
+    blocks = seen.groupBy("_block").agg(
+        F.min("_id").alias("first"), F.max("_id").alias("last"), F.count("*").alias("n"), F.count_if("_end").alias("ends"), F.count_if("_bare").alias("bare"), F.count_if(bad).alias("bad"), F.max(F.when(F.col("_end"), F.col("_id"))).alias("end"),
+    ).orderBy("_block").collect()
+    total = lambda c: sum(b[c] for b in blocks)
+    if total("bad") or total("ends") != 2 or total("bare") != (total("n") > 2) or blocks[-1].end != blocks[-1].last:
+        return None
+    shifts, before = [], 0
+    for b in blocks:
+        shifts.append((b["_block"], before - b["first"] - 1))
+        before += b["n"]
+    shift = F.broadcast(spark.createDataFrame(shifts, "_block long, _shift long"))  # a row per split of the file
+    rows = lines.where(~end).join(shift, "_block")
+    return rows.select(F.from_json(one, schema).alias("_d"), (F.col("_id") + F.col("_shift")).alias("_at")).select("_d.*", "_at")
+
+
 def sarif_results(spark: SparkSession, path: str) -> DataFrame:
     """result_index, result: all results of all runs, numbered in their order."""
+    by_lines = _by_lines(spark, path, schemas.SARIF, schemas.SARIF_LINES)
+    if by_lines is not None:
+        return by_lines.select(F.col("_at").cast("int").alias("result_index"), F.get(F.get("runs", F.lit(0))["results"], F.lit(0)).alias("result"))
     runs = _json(spark, path, schemas.SARIF).select(F.posexplode("runs").alias("_run", "_r"))
     rows = runs.select("_run", F.posexplode("_r.results").alias("_i", "result"))
     before = runs.select(F.col("_run").alias("_b"), F.size("_r.results").alias("_n"))

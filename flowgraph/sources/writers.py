@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowgraph.sources import schemas
+
 
 def write_rows(df: DataFrame, path: str) -> None:
     """A JSON text per row, over whatever stood there; many files, each a part."""
@@ -16,6 +18,21 @@ def write_document(df: DataFrame, path: str) -> None:
     write_rows(df.coalesce(1), path)
 
 
+def json_text(c: Column) -> Column:
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
+def write_elements(elements: DataFrame, path: str, form: schemas.Lines, foot: str | None = None) -> None:
+    """One JSON file of a list or map, an element on each line between the form's head and foot, which no row holds in whole.
+
+    elements: value, the JSON text of an element, and ord, its place. One task sorts and writes them, since they are one file.
+    """
+    ends = elements.sparkSession.range(2).select((F.col("id") * 2).alias("_part"), F.when(F.col("id") == 0, F.lit(form.head)).otherwise(F.lit(foot or form.foot)).alias("value"))
+    rows = elements.select(F.lit(1).cast("long").alias("_part"), "value", "ord").unionByName(ends, allowMissingColumns=True)
+    rows = rows.repartition(1).sortWithinPartitions("_part", "ord").withColumn("_n", F.monotonically_increasing_id())
+    rows.select(F.when((F.col("_part") == 1) & (F.col("_n") > 1), F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value")).write.mode("overwrite").text(path)
+
+
 def flow_document(flows: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
     """One row: metadata, and grouped_flows, a map of group_key to its flows in order. Written even when empty.
 

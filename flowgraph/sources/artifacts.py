@@ -224,7 +224,9 @@ def endpoint_document(spark: SparkSession, path: str) -> DataFrame:
 def check_document(spark: SparkSession, path: str) -> DataFrame:
     """Methods with authorization checks."""
     shape = "methods_with_auth array<struct<id:string,method_location:struct<file:string,start_line:int,end_line:int>,method_source_with_lines:string,auth_checks:array<struct<expression:string,line:int>>>>"
-    return _json(spark, path, shape).select(F.explode("methods_with_auth").alias("_m")).select("_m.*")
+    by_lines = _by_lines(spark, path, shape, schemas.CHECK_LINES)
+    found = _json(spark, path, shape) if by_lines is None else by_lines
+    return found.select(F.explode("methods_with_auth").alias("_m")).select("_m.*")
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:

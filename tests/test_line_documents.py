@@ -44,3 +44,13 @@ def test_a_broken_line_is_the_whole_files_matter(spark, tmp_path, broken):
     (tmp_path / "r.sarif").write_text("\n".join(rows))
     found = artifacts.sarif_messages(spark, str(tmp_path / "r.sarif")).orderBy("result_index").collect()
     assert [x.message for x in found] == (["a", "b", "c"] if broken and broken.endswith("}}") else [])
+
+
+def test_checks_by_lines(spark, tmp_path, monkeypatch):
+    method = '{"id":"m%d","method_location":{"file":"a.java","start_line":1,"end_line":2},"auth_checks":[{"expression":"ok","line":%d}]}'
+    writers.write_elements(elements(spark, [method % (k, k) for k in range(300)]), str(tmp_path / "c"), schemas.CHECK_LINES)
+    assert len(json.loads(the_file(tmp_path / "c").read_text())["methods_with_auth"]) == 300
+    whole = artifacts._json(spark, str(tmp_path / "c"), "methods_with_auth array<struct<id:string>>").select(F.explode("methods_with_auth.id")).count()
+    monkeypatch.setattr(artifacts, "_json", None)
+    found = artifacts.check_document(spark, str(tmp_path / "c")).select("id", F.get("auth_checks", F.lit(0))["line"])
+    assert whole == 300 and sorted(map(tuple, found.collect())) == sorted((f"m{k}", k) for k in range(300))

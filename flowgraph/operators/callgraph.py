@@ -169,13 +169,14 @@ def route_identifier(functions: DataFrame, identifier: Column) -> Column:
 def library_lookup(names: DataFrame, library: DataFrame) -> DataFrame:
     """names (fqn) with the library text of that name, else of the first entry, by ord, that ends with `.name`.
 
-    library has fqn, text, ord; entries that begin with _ don't count. Suffixes meet on the last part of the name.
+    library has fqn, text, ord; entries that begin with _ don't count. An entry is listed under its own name and all that
+    follow one of its dots, so names are looked up and not compared.
     """
     library = library.where(~F.startswith("fqn", F.lit("_"))).select(F.col("fqn").alias("full"), "text", "ord")
-    last = lambda c: F.element_at(F.split(c, r"\."), -1)
-    near = names.select("fqn").distinct().join(library, last(F.col("fqn")) == last(F.col("full")))
-    near = near.where((F.col("full") == F.col("fqn")) | F.endswith("full", F.concat(F.lit("."), "fqn")))
-    best = near.groupBy("fqn").agg(F.min_by("text", F.struct(F.col("full") != F.col("fqn"), F.col("ord"))).alias("text"))
+    parts = F.split("full", r"\.")
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    listed = library.withColumn("fqn", F.explode(cut)).join(names.select("fqn").distinct(), "fqn", "left_semi")
+    best = listed.groupBy("fqn").agg(F.min_by("text", F.struct(F.col("full") != F.col("fqn"), F.col("ord"))).alias("text"))
     return names.join(best, "fqn", "left")
 
 

@@ -231,7 +231,12 @@ def check_document(spark: SparkSession, path: str) -> DataFrame:
 
 def library(spark: SparkSession, path: str) -> DataFrame:
     """fqn, text, ord of library notes; keys that begin with _ are remarks."""
-    rows = _json(spark, path, "semantics map<string,string>").select(F.posexplode(F.map_entries("semantics")).alias("ord", "_e"))
+    shape = "semantics map<string,string>"
+    by_lines = _by_lines(spark, path, shape, schemas.LIBRARY_LINES)
+    if by_lines is None:
+        rows = _json(spark, path, shape).select(F.posexplode(F.map_entries("semantics")).alias("ord", "_e"))
+    else:
+        rows = by_lines.select(F.col("_at").cast("int").alias("ord"), F.explode(F.map_entries("semantics")).alias("_e"))
     return rows.select(F.col("_e.key").alias("fqn"), F.col("_e.value").alias("text"), "ord").where(~F.startswith("fqn", F.lit("_")))
 
 

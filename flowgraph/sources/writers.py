@@ -22,6 +22,17 @@ def json_text(c: Column) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
 
 
+def json_value(c: Column) -> Column:
+    """The JSON text of a plain value, without a struct or list around it."""
+    listed = json_text(F.array(c))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def json_entry(key: Column, value: Column) -> Column:
+    """An entry of a JSON map as write_elements takes it; value is a JSON text."""
+    return F.concat(json_value(key), F.lit(":"), value)
+
+
 def write_elements(elements: DataFrame, path: str, form: schemas.Lines, foot: str | None = None) -> None:
     """One JSON file of a list or map, an element on each line between the form's head and foot, which no row holds in whole.
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from flowgraph.operators import callgraph
 from flowgraph.sources import artifacts, schemas, writers
 
 
@@ -54,3 +55,19 @@ def test_checks_by_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(artifacts, "_json", None)
     found = artifacts.check_document(spark, str(tmp_path / "c")).select("id", F.get("auth_checks", F.lit(0))["line"])
     assert whole == 300 and sorted(map(tuple, found.collect())) == sorted((f"m{k}", k) for k in range(300))
+
+
+def test_library_by_lines_and_names_that_share_their_end(spark, tmp_path, monkeypatch, capsys):
+    """Entries and names of one last part aren't compared with one another; the first entry of an end counts, whole names before it."""
+    said = [("_note", "left out"), ('a."q".get', "1"), ("b.c.get", "2"), ("get", "3"), ("c.get", "4"), ("x.", "5")]
+    rows = spark.createDataFrame([(n, k, v) for n, (k, v) in enumerate(said)], "ord long, k string, v string")
+    writers.write_elements(rows.select("ord", writers.json_entry(F.col("k"), writers.json_value(F.col("v"))).alias("value")), str(tmp_path / "l"), schemas.LIBRARY_LINES)
+    assert json.loads(the_file(tmp_path / "l").read_text())["semantics"] == dict(said)
+    monkeypatch.setattr(artifacts, "_json", None)
+    library = artifacts.library(spark, str(tmp_path / "l"))
+    assert sorted((x.ord, x.fqn, x.text) for x in library.collect()) == [(n, *kv) for n, kv in enumerate(said)][1:]
+    names = spark.createDataFrame([("get",), ("c.get",), ('"q".get',), ("et",), ("",), ("d.get",), ("b.c.get",), (None,)], "fqn string")
+    found = callgraph.library_lookup(names, library)
+    assert {x.fqn: x.text for x in found.collect()} == {"get": "3", "c.get": "4", '"q".get': "1", "et": None, "": "5", "d.get": None, "b.c.get": "2", None: None}
+    found.explain(True)
+    assert "EndsWith" not in capsys.readouterr().out

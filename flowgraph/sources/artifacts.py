@@ -208,7 +208,11 @@ def call_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def flow_document(spark: SparkSession, path: str) -> DataFrame:
     """Flows of a grouped document: group_key, the flow's columns, and ord, their place in it."""
-    groups = _json(spark, path, schemas.FLOW_DOCUMENT).select(F.posexplode(F.map_entries("grouped_flows")).alias("_g", "_e"))
+    by_lines = _by_lines(spark, path, schemas.FLOW_DOCUMENT, schemas.FLOW_LINES)
+    if by_lines is None:
+        groups = _json(spark, path, schemas.FLOW_DOCUMENT).select(F.posexplode(F.map_entries("grouped_flows")).alias("_g", "_e"))
+    else:
+        groups = by_lines.select(F.col("_at").cast("int").alias("_g"), F.explode(F.map_entries("grouped_flows")).alias("_e"))
     rows = groups.select("_g", F.col("_e.key").alias("group_key"), F.posexplode("_e.value").alias("_i", "_f"))
     return rows.select("group_key", "_f.*", F.struct("_g", "_i").alias("ord"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,14 @@ def flow_document(flows: DataFrame, metadata: dict[str, str] | None = None) -> D
     return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group_key", "flows")))).alias("grouped_flows")).select(meta.alias("metadata"), "grouped_flows")
 
 
+def write_flow_document(flows: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """The file of flow_document with a group on each line, so that a row holds a group at most."""
+    fields = [c for c in flows.columns if c != "group_key"]
+    rows = flows.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))).alias("flows"))
+    foot = "},\"metadata\":" + json.dumps(metadata or {"format": "flows"}) + "}"
+    write_elements(rows.select(F.col("group_key").alias("ord"), json_entry(F.col("group_key"), json_text(F.col("flows"))).alias("value")), path, schemas.FLOW_LINES, foot)
+
+
 def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of nodes and edges; an edge's steps stand as their number."""
     e = edges.withColumn("step_count", F.greatest(F.size("steps"), F.lit(0))).drop("steps") if "steps" in edges.columns else edges

@@ -71,3 +71,17 @@ def test_library_by_lines_and_names_that_share_their_end(spark, tmp_path, monkey
     assert {x.fqn: x.text for x in found.collect()} == {"get": "3", "c.get": "4", '"q".get': "1", "et": None, "": "5", "d.get": None, "b.c.get": "2", None: None}
     found.explain(True)
     assert "EndsWith" not in capsys.readouterr().out
+
+
+def test_flows_by_lines(spark, tmp_path, monkeypatch):
+    """A group on a line; the groups and their flows keep their order."""
+    shape = "group_key string, flow_id string, steps array<struct<location:string>>, ord long"
+    rows = spark.createDataFrame([(f'k"{k % 40:02}', f"f{k}", [(f"a:{k}",)], -k) for k in range(400)], shape)
+    writers.write_flow_document(rows, str(tmp_path / "f"), {"format": "x"})
+    whole = json.loads(the_file(tmp_path / "f").read_text())
+    assert whole["metadata"] == {"format": "x"} and [f["flow_id"] for f in whole["grouped_flows"]['k"07']] == [f"f{k}" for k in range(367, 0, -40)]
+    monkeypatch.setattr(artifacts, "_json", None)
+    found = [(x.group_key, x.flow_id, x.steps[0].location) for x in artifacts.flow_document(spark, str(tmp_path / "f")).orderBy("ord").collect()]
+    assert found == [(f'k"{g:02}', f"f{k}", f"a:{k}") for g in range(40) for k in range(360 + g, -1, -40)]
+    writers.write_flow_document(rows.limit(0), str(tmp_path / "none"))
+    assert artifacts.flow_document(spark, str(tmp_path / "none")).count() == 0

@@ -31,7 +31,8 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
-    larger = ~smaller
+    #: Whether the place before is to be induced; the first one has none.
+    larger_before, smaller_before = np.append(False, ~smaller[:-1]), np.append(False, smaller[:-1])
     sa = np.full(n, -1, np.int32)
     heads, tails = starts.copy(), ends.copy()
     seeds = seeds.astype(np.int32)
@@ -44,18 +45,16 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
         sorted_symbols = symbols[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_symbols[1:] != sorted_symbols[:-1]]))
         counts = np.diff(np.append(first, len(at)))
-        rank = np.arange(len(at), dtype=np.int32) - np.repeat(first.astype(np.int32), counts)
         bucket = sorted_symbols[first]
         if low:
-            sa[np.repeat(heads[bucket], counts) + rank] = at[order]
+            sa[np.repeat(heads[bucket] - first, counts) + np.arange(len(at))] = at[order]
             heads[bucket] += counts
         else:
-            sa[np.repeat(tails[bucket], counts) - 1 - rank] = at[order]
+            sa[np.repeat(tails[bucket] - 1 + first, counts) - np.arange(len(at))] = at[order]
             tails[bucket] -= counts
 
     def before(run: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        at = run[run > 0] - 1
-        return at[kind[at]]
+        return run[kind[run]] - 1
 
     place(np.array([n - 1], np.int32), True)
     present = np.flatnonzero(ends > starts)
@@ -64,18 +63,18 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int)
         while done < heads[c]:
             run = sa[done : heads[c]].copy()
             done = heads[c]
-            if len(at := before(run, larger)):
+            if len(at := before(run, larger_before)):
                 place(at, True)
-        if len(at := before(seeds[seed_at[c] : seed_at[c + 1]], larger)):
+        if len(at := before(seeds[seed_at[c] : seed_at[c + 1]], larger_before)):
             place(at, True)
     for c in present[::-1].tolist():
         done = ends[c]
         while done > tails[c]:
             run = sa[tails[c] : done][::-1].copy()
             done = tails[c]
-            if len(at := before(run, smaller)):
+            if len(at := before(run, smaller_before)):
                 place(at, False)
-        if len(at := before(sa[starts[c] : heads[c]][::-1], smaller)):
+        if len(at := before(sa[starts[c] : heads[c]][::-1], smaller_before)):
             place(at, False)
     return sa
 
@@ -107,7 +106,7 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     if n < 2:
         return np.arange(n, dtype=np.int32)
     #: Small symbols sort by radix, and everything takes half the room in 32 bits.
-    text = text.astype(np.uint16 if size <= 1 << 16 else np.int32, copy=False)
+    text = text.astype(np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.int32, copy=False)
     smaller = suffix_types(text)
     lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     if len(lms) < 2:
@@ -130,7 +129,9 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
 
 def _names(text: np.ndarray, lms: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     """Numbers the leftmost smaller substrings in text order: equal ones alike, ascending in the order of ranked."""
-    index = np.searchsorted(lms, ranked)
+    number = np.empty(len(text), np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
+    index = number[ranked]
     end = np.append(lms[1:], len(text) - 1)
     size = (end - lms + 1)[index]
     same = size[1:] == size[:-1]
@@ -152,7 +153,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted: for each place, how much its suffix shares with the one before it in order, exact up to `most`.
 
     Where the symbols before both are equal, the prefix is one less than that of the place before; only the others,
-    and every STEP-th place, are compared, four symbols at a time and STEP further than asked for.
+    and every STEP-th place, are compared, seven symbols at a time and STEP further than asked for.
     """
     n, limit = len(text), most + STEP
     phi = np.full(n, -1, np.int32)
@@ -162,22 +163,26 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     derived[at] = text[at - 1] == text[phi[at] - 1]
     derived[::STEP] = False
     open_ = np.flatnonzero((phi >= 0) & ~derived).astype(np.int32)
-    padded = np.zeros(n + limit + 16, np.uint64)
-    padded[:n] = text
-    padded[:n] += np.uint64(1)
-    words = padded.copy()
-    words[:-1] |= padded[1:] << np.uint64(9)
-    words[:-2] |= words[2:] << np.uint64(18)
-    shared, k = np.zeros(n, np.int32), 0
+    #: Seven symbols of 9 bits a word; 0 is past the end.
+    one = np.zeros(n + limit + 16, np.uint64)
+    one[:n] = text
+    one[:n] += np.uint64(1)
+    words = one.copy()
+    words[:-1] |= one[1:] << np.uint64(9)
+    seven = words.copy()
+    seven[:-2] |= words[2:] << np.uint64(18)
+    seven[:-4] |= words[4:] << np.uint64(36)
+    seven[:-6] |= one[6:] << np.uint64(54)
+    shared, k, other = np.zeros(n, np.int32), 0, phi[open_]
     while len(open_) and k < limit:
-        same = words[open_ + k] == words[phi[open_] + k]
-        short = open_[~same]
-        for step in range(4):
-            keep = padded[short + k + step] == padded[phi[short] + k + step]
-            short = short[keep]
-            shared[short] = k + step + 1
-        open_ = open_[same & (padded[open_ + k + 3] > 0)]
-        k += 4
+        differ = seven[open_ + k] ^ seven[other + k]
+        same = differ == 0
+        #: The lowest bit that differs, read as a power of two, is in the first symbol that does.
+        bit = differ[~same]
+        bit = ((bit & (~bit + np.uint64(1))).astype(np.float64).view(np.int64) >> 52) - 1023
+        shared[open_[~same]] = k + bit // 9
+        open_, other = open_[same], other[same]
+        k += 7
         shared[open_] = k
     place = np.arange(n, dtype=np.int32)
     base = np.where(derived, 0, place).astype(np.int32)

@@ -9,7 +9,8 @@ strings have to meet in one shard, though a corpus of them fits nowhere. So:
    around the anchor (an equal window agrees on half of its other bytes to its left or to its right). The others hold
    no repeat. A map task that holds more than KEEP copies of a stretch reports the rest as covered itself, after it has
    compared their bytes with the first, so that a passage that a third of all documents share doesn't flood a shard.
-3. The bytes of stretches with partners go to shards by anchor. A shard builds its suffix array by induced sorting and
+3. The bytes of stretches with partners go to shards by anchor. Of equal ones a shard, too, sorts the first KEEP + 1 only
+   and reports the rest, by their bytes. It builds its suffix array by induced sorting and
    its permuted common prefixes (induced.py); runs of suffixes that share LENGTH bytes are equal windows, and all but
    the earliest are covered. Hashes only choose what a shard reads; bytes decide.
 4. Each document cuts out the union of what is covered.
@@ -387,37 +388,59 @@ def repeated_windows(parts: list[bytes], rank: np.ndarray) -> Iterator[tuple[int
     """
     size = np.array([len(p) for p in parts], np.int32)
     begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int32)
-    of = np.repeat(np.arange(len(parts), dtype=np.int32), size + 1)
-    inside = np.arange(len(of), dtype=np.int32) - begin[of]
-    text = np.zeros(len(of), np.uint16)
-    text[inside < size[of]] = np.frombuffer(b"".join(parts), np.uint8)
-    text[inside < size[of]] += np.uint16(1)
-    sa = suffix_array(text, 257)
+    at = np.arange(int((size + 1).sum()), dtype=np.int32)
+    text = np.frombuffer(b"\xff".join([*parts, b""]), np.uint8) + np.uint8(1)
+    symbols = 256
+    if np.count_nonzero(text == 0) > len(parts):  # 255 is in a part, which UTF-8 never is
+        text, symbols = text.astype(np.uint16), 257
+        text[text == 0] = 256
+        text[begin + size] = 0
+    sa = suffix_array(text, symbols)
     equal = common_prefixes(text, sa, LENGTH)[sa] >= LENGTH
-    whole = (size[of] - inside >= LENGTH)[sa]
+    whole = (np.repeat(begin + size, size + 1) - at >= LENGTH)[sa]
     equal[1:] &= whole[1:] & whole[:-1]
-    run = np.flatnonzero(~equal)
-    place = rank[of[sa]] * np.int64(1 << 32) + inside[sa]
-    first = np.minimum.reduceat(place, run)
+    #: Of a run of equal windows the first is not marked as equal to the one before it.
+    among = np.flatnonzero(equal | np.append(equal[1:], False))
     later = np.zeros(len(text), bool)
-    later[sa] = place > np.repeat(first, np.diff(np.append(run, len(sa))))
+    if len(among):
+        place = (np.repeat(rank * np.int64(1 << 32) - begin, size + 1) + at)[sa[among]]
+        run = np.flatnonzero(~equal[among])
+        first = np.minimum.reduceat(place, run)
+        later[sa[among]] = place > np.repeat(first, np.diff(np.append(run, len(among))))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], later.astype(np.int8), [0]])))
-    for a, b in edge.reshape(-1, 2).tolist():
-        yield int(of[a]), int(inside[a]), int(inside[b - 1])
+    of = np.searchsorted(begin, edge[::2], "right") - 1
+    for part, a, b in zip(of.tolist(), (edge[::2] - begin[of]).tolist(), (edge[1::2] - 1 - begin[of]).tolist(), strict=True):
+        yield part, a, b
+
+
+def _later_copies(parts: list[bytes], order: np.ndarray, keep: int = KEEP) -> np.ndarray:
+    """Which parts equal, byte by byte, more than `keep` that come before them in the order."""
+    seen: dict[bytes, int] = {}
+    copy = np.zeros(len(parts), bool)
+    for i in order.tolist():
+        n = seen[parts[i]] = seen.get(parts[i], -1) + 1
+        copy[i] = n > keep
+    return copy
 
 
 def _sorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered stretches by the suffix arrays of shards of whole anchor groups."""
+    """Covered stretches by the suffix arrays of shards of whole anchor groups; of equal stretches KEEP + 1 are sorted."""
     for batch in _whole_groups(batches, "anchor", SHARD // (LENGTH + 40)):
         #: Equal stretches stand apart, so that few names are tied beyond one of them.
         batch = batch.take(np.random.default_rng(len(batch)).permutation(len(batch)))
         doc, tie, start = (batch.column(c).to_numpy() for c in ("doc", "tie", "start"))
+        order = np.lexsort([start, tie, doc])
         rank = np.empty(len(doc), np.int64)
-        rank[np.lexsort([start, tie, doc])] = np.arange(len(doc))
-        found = [(doc[k], tie[k], start[k] + a, start[k] + b + LENGTH) for k, a, b in repeated_windows(batch.column("data").to_pylist(), rank)]
-        if found:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["doc", "tie", "start", "end"])
+        rank[order] = np.arange(len(doc))
+        parts = batch.column("data").to_pylist()
+        copy = _later_copies(parts, order)
+        gone, kept = np.flatnonzero(copy), np.flatnonzero(~copy)
+        windows = np.array(list(repeated_windows([parts[i] for i in kept.tolist()], rank[kept])), np.int64).reshape(-1, 3)
+        of = np.append(gone, kept[windows[:, 0]])
+        if len(of):
+            begin = start[of] + np.append(np.zeros(len(gone), np.int64), windows[:, 1])
+            end = np.append(start[gone] + np.array([len(parts[i]) for i in gone.tolist()], np.int64), start[kept[windows[:, 0]]] + windows[:, 2] + LENGTH)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(tie[of]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "tie", "start", "end"])
 
 
 def _closer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,3 +121,39 @@ def test_whole_groups():
     out = [b.column("k").to_pylist() for b in suffix_dedup._whole_groups(iter([batches[0].slice(0, 0), *batches]), "k", 20)]
     assert sum(out, []) == keys and all(not set(a) & set(b) for a, b in zip(out, out[1:]))
     assert max(map(len, out)) <= 20 + max(keys.count(k) for k in set(keys))
+
+
+def test_a_shard_sorts_two_of_equal_stretches(monkeypatch):
+    """Forty copies of a stretch and two that begin later in it: two copies are sorted, and all but the first are covered."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    one = bytes(r.randrange(32, 127) for _ in range(150))
+    rows = [(7, 60 + k, k, one) for k in range(40)] + [(7, 5, 9, one[20:]), (7, 300, 0, b"x" * 30 + one[:110])]
+    r.shuffle(rows)
+    sizes = []
+    build = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text, size: sizes.append(len(text)) or build(text, size))
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, *_ in rows]), pa.array([d for _, d, *_ in rows]), pa.array([0] * len(rows)), pa.array([s for *_, s, _ in rows], pa.int32()), pa.array([t for *_, t in rows], pa.binary())], suffix_dedup._PARTS.names)
+    (out,) = suffix_dedup._sorter(iter([batch]))
+    covered = {}
+    for x in out.to_pylist():
+        covered.setdefault(x["doc"], set()).update(range(x["start"], x["end"]))
+    want = {60 + k: set(range(k, k + 150)) for k in range(1, 40)} | {60: set(range(20, 150)), 300: set(range(30, 140))}
+    assert covered == want and sizes == [2 * 151 + 131 + 141]
+
+
+@pytest.mark.parametrize("high", [254, 255])
+def test_repeated_windows_of_any_bytes(high):
+    r = random.Random(high)
+    word = lambda: bytes(r.choice([0, 1, high, 65]) for _ in range(r.randint(1, 90)))
+    words = [word() for _ in range(6)]
+    parts = [b"".join(r.choice(words) for _ in range(r.randint(1, 8))) for _ in range(30)] + [bytes([high]) * 260]
+    seen, want = set(), set()
+    for k, p in enumerate(parts):
+        for i in range(len(p) - 99):
+            if p[i : i + 100] in seen:
+                want.add((k, i))
+            seen.add(p[i : i + 100])
+    got = {(k, i) for k, a, b in suffix_dedup.repeated_windows(parts, np.arange(len(parts))) for i in range(a, b + 1)}
+    assert got == want and len(want) > 100
